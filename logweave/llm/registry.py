@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules
+from . import bpe, chat, katz, pii, quality_rules, substring
 
 
 def queries():
-    return {"op2_quality_rules": quality_rules.op2_quality_rules, "op7_chat_formatting": chat.op7_chat_formatting}
+    return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_substring_dedup": substring.op3_substring_dedup,
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_katz_backoff": katz.op5_katz_backoff,
+        "op6_pii": pii.op6_pii,
+        "op7_chat_formatting": chat.op7_chat_formatting,
+    }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op7_chat_formatting": chat.OP7_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op7_chat_formatting": chat.OP7_SQL}
