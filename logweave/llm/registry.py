@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, katz, pii, quality_rules, substring
+from . import bpe, chat, jaccard, katz, pii, quality_rules, substring
 
 
 def queries():
     return {
+        "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_byte_bpe": bpe.op4_byte_bpe,
