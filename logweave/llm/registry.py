@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, katz, pii, quality_rules, substring
+from . import bpe, chat, decontaminate, jaccard, katz, pii, quality_rules, quality_trees, substring, toxicity
 
 
 def queries():
@@ -14,6 +14,9 @@ def queries():
         "op5_katz_backoff": katz.op5_katz_backoff,
         "op6_pii": pii.op6_pii,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_toxicity_crf": toxicity.op8_toxicity_crf,
+        "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_quality_trees": quality_trees.op10_quality_trees,
     }
 
 
