@@ -1,0 +1 @@
+"""Ordered, partitioned record processing on Spark DataFrames and Structured Streaming."""
