@@ -8,10 +8,13 @@
    two sets over the threshold t share at least k' = k(ceil(t n)) of them. A shingle
    in one group's union only links nothing, so a document whose signature meets other
    groups in fewer than k' shingles is done: its overlap bound fails for every group.
-4. For the rest, shingles in order of rising document frequency give the groups that
-   can qualify (one of the first f - k' + 1 must be shared); the overlap of the
-   signature with a group's union bounds the overlap with each member; only groups
-   that pass are opened, and their members of fitting size verified on whole texts.
+4. The rest get whole sets. A shingle that no other group holds cannot be shared, so
+   the r others bound the overlap with any group; two sets of n and m shingles need
+   t (n + m) / (1 + t). Documents whose bound fails go, twice over. In order of rising
+   document frequency one of the first r - ceil(t n) + 1 shingles must be shared: these
+   are looked up in the matrix, which also holds each group's sizes and largest r. Only
+   groups that pass both tests are opened, and their members of fitting size and bound
+   verified on whole texts.
 5. Links and classes give components.
 
 Groups are counted, not their members, so thousands of near copies cost one entry a
@@ -119,6 +122,28 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _whole_sets(width: int):
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in chunks(texts, CHUNK):
+                s, at = shingle_sets(texts[a:b], width)
+                out = pdf.iloc[a:b].drop(columns="text")
+                signed = s.view(np.int64)
+                out["hs"] = [signed[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield out
+
+    return run
+
+
+def _met_elsewhere(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(id, n, g, hs) with hs cut to shingles that another group holds too, rarest first; sets that keep too few go."""
+    cell = sets.select("id", "n", "g", F.explode("hs").alias("h"))
+    df = cell.groupBy("h").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h", "df")
+    met = cell.join(df, "h").groupBy("id", "n", "g").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
+    return met.where(100 * F.size("x") >= percent * F.col("n")).select("id", "n", "g", F.transform("x", lambda x: x["h"]).alias("hs"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs(a, b) that link, by the whole texts (doc_id, text)."""
     j = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -145,21 +170,24 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     cell = own.select("id", "n", "g", F.explode("sig").alias("h"))
     shared = cell.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
-    rest = cell.join(shared, "h", "left_semi").groupBy("id", "n", "g").agg(F.collect_set("h").alias("hs")).where(F.size("hs") >= least)
-    rest = keep(rest.withColumn("least", least.cast("int")), "open-documents")
-
-    cell = rest.select("id", "n", "g", "least", F.size("hs").alias("f"), F.explode("hs").alias("h"))
-    df = cell.groupBy("h").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h", "df")
-    # frequencies among the open documents; a document keeps what it still shares, and its first f - k' + 1
-    ranked = cell.join(df, "h").groupBy("id", "n", "g", "least").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).where(F.size("x") >= F.col("least"))
-    ranked = keep(ranked.withColumn("hs", F.transform("x", lambda x: x["h"])).drop("x"), "ranked-documents")
-    probe = ranked.select("id", "n", "g", "least", F.explode(F.slice("hs", F.lit(1), F.size("hs") - F.col("least") + 1)).alias("h"))
-    matrix = probe.select("h", F.col("g").alias("to")).distinct()
-    candidates = probe.join(matrix, "h").where("g < to").select("id", "n", "g", "least", "to").distinct()
-    union = ranked.select(F.col("g").alias("to"), F.explode("hs").alias("h")).distinct()
-    bound = candidates.join(ranked.select("id", F.explode("hs").alias("h")), "id").join(union, ["to", "h"]).groupBy("id", "n", "least", "to").agg(F.count("*").alias("overlap")).where("overlap >= least")
-    members = ranked.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("g").alias("to"))
-    opened = bound.join(members, "to").where(fits(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
+    rest = cell.join(shared, "h", "left_semi").groupBy("id", "n", "g").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    rest = keep(rest.select("id", "n", "g"), "open-documents")
+
+    # whole sets of the rest; twice: what the first pass closes makes shingles of others unique to their group
+    j = rest.join(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "id")
+    sets = j.mapInPandas(_whole_sets(width), "id long, n long, g long, hs array<long>")
+    for i in range(2):
+        sets = keep(_met_elsewhere(sets, percent), f"met-{i}")
+    probe = sets.select("id", "n", "g", F.size("hs").alias("r"), F.posexplode(F.slice("hs", F.lit(1), (F.size("hs") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "h")).withColumn("r", F.col("r") - F.col("pos"))
+    matrix = probe.groupBy("h", F.col("g").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("most"))
+    # r counts from the shingle on: at the first one that two sets share, it bounds what they share
+    # two sets of n and m over the threshold overlap in t (n + m) / (1 + t); neither can overlap more than it meets elsewhere
+    can = lambda r, n, m: (100 + percent) * r >= percent * (n + m)
+    near = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & can(F.least("r", "most"), F.col("n"), F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100)))
+    candidates = probe.join(matrix, (probe["h"] == matrix["h"]) & (F.col("g") < F.col("to")) & near).select("id", "n", "to").distinct()
+    members = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.size("hs").alias("s"), F.col("g").alias("to"))
+    own_bound = sets.select("id", F.size("hs").alias("w"))
+    opened = candidates.join(own_bound, "id").join(members, "to").where(fits(F.col("n"), F.col("m")) & can(F.least("w", "s"), F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
     cross = keep(verified(keep(opened, "opened-pairs"), texts, width, percent), "cross-links")
     return classes, star.unionByName(cross)
 
