@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import discard, keep, table
 from .vec import chunks, mix, word_arrays
 
 MIN_COUNT = 2
@@ -135,8 +135,8 @@ def discounts(of: dict[int, int], least: int = MIN_COUNT, most: int = GT_MAX) ->
 class KatzModel:
     """words(w, c, loga) and corrections(k, delta), as tables; totals as numbers."""
 
-    def __init__(self, words: DataFrame, corrections: DataFrame, n: int, v: int, begin: float, bigrams: DataFrame, discount: dict):
-        self.words, self.corrections, self.n, self.v, self.begin, self.bigrams, self.discount = words, corrections, n, v, begin, bigrams, discount
+    def __init__(self, words: DataFrame, corrections: DataFrame, n: int, v: int, begin: float, discount: dict):
+        self.words, self.corrections, self.n, self.v, self.begin, self.discount = words, corrections, n, v, begin, discount
 
 
 def parts(docs: DataFrame) -> int:
@@ -170,8 +170,10 @@ def fit(docs: DataFrame, min_count: int = MIN_COUNT) -> KatzModel:
     alphas = keep(per, "katz-alphas")
     begin = alphas.where(F.col("h") == int(BEGIN.view(np.int64))).select(F.log10("alpha")).first()
     corrections = with_w.join(alphas, "h").select("k", (F.log10(F.col("scale") * F.col("dc") / F.col("hc")) - F.log10("p1") - F.log10("alpha")).alias("delta"))
+    corrections = keep(corrections, "katz-corrections")
+    discard(counted, with_w)
     words = vocab.join(alphas.select(F.col("h").alias("w"), F.log10("alpha").alias("loga")), "w", "left").select("w", "c", F.coalesce("loga", F.lit(0.0)).alias("loga"))
-    return KatzModel(words, corrections, int(n), int(v), float(begin[0]) if begin else 0.0, bigrams, d)
+    return KatzModel(words, corrections, int(n), int(v), float(begin[0]) if begin else 0.0, d)
 
 
 def _pack_docs(nb: int, bigrams: bool):
