@@ -19,7 +19,10 @@ toxic ones (0 with no rows); rows that repeat get equal scores; extra columns pa
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,7 @@ from .katz import held
 from .labelled import sample
 from .vec import _LOWER, chunks, mix, powers
 
-SAMPLE = 6000
+SAMPLE = 5000
 MIN_DOCS, MIN_SHARE, MIN_WEAK = 5, 0.85, 30
 STEPS, RATE = 25, 0.3
 THRESHOLD = 0.7
@@ -145,12 +148,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25)
 
 
 def fit(texts: list, y: np.ndarray) -> Crf:
-    """Fit on labelled texts, held by the driver: a bounded sample."""
+    """Fit on labelled texts: a bounded sample, held in one process."""
     y = np.asarray(y, float)
     prior = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return Crf(np.zeros(0, np.uint64), np.zeros(0), -5.0, np.zeros((2, 2)), -5.0, None, prior)
-    f, first, *_ = letter_words(texts)
+    parts = [letter_words(texts[a:b])[:2] for a, b in chunks(texts)]
+    f = np.concatenate([x for x, _ in parts], 1)
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for _, x in parts])))
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     stats = []
     for x in f:  # documents and toxic documents that hold each feature
@@ -166,13 +171,14 @@ def fit(texts: list, y: np.ndarray) -> Crf:
     chosen = (share >= MIN_SHARE) | (docs >= MIN_WEAK) & (np.abs(np.log((share + 0.02) / (prior + 0.02))) > 0.7)
     o = np.argsort(keys[chosen])
     keys, sure = keys[chosen][o], (share >= MIN_SHARE)[chosen][o]
-    at = np.full(f.shape, len(keys))
+    at = np.full(f.shape, len(keys), np.int32)
     for i, x in enumerate(f):
         j = np.searchsorted(keys, x)
         j[j == len(keys)] = 0
         if len(keys):
             at[i] = np.where(keys[j] == x, j, len(keys))
     label = (np.append(sure, False)[at].any(0) & (y[doc] > 0)).astype(float)
+    del f, doc
     order, off, _ = packed(first)
     at, label, lead = at[:, order], label[order], int(off[1]) if len(off) > 1 else 0
     w, bias, trans, start = np.zeros(len(keys) + 1), -3.0, np.zeros((2, 2)), -3.0
@@ -200,14 +206,23 @@ def fit(texts: list, y: np.ndarray) -> Crf:
     w = np.clip(w, -20, 20)
     keep = w[:-1] != 0
     model = Crf(keys[keep], w[:-1][keep], bias, trans, start, None, prior)
-    p, first, *_ = model.marginals(texts)
-    model.curve = logistic(summary(p, first), y)
+    del at, label
+    model.curve = logistic(np.concatenate([summary(*model.marginals(texts[a:b])[:2]) for a, b in chunks(texts)]), y)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, limit: int = SAMPLE) -> Crf:
-    rows = sample(docs, labels, "toxic", allowed, limit).toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(float))
+    """Fit in one task, on at most ``limit`` documents; the driver gets the weights only."""
+
+    def run(batches):
+        texts, y = [], []
+        for pdf in batches:
+            texts += pdf["text"].tolist()
+            y += pdf["y"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, np.array(y)))]})
+
+    got = sample(docs, labels, "toxic", allowed, limit).repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Crf, column: str = "text", least: float = 0.5) -> DataFrame:
