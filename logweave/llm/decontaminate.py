@@ -130,23 +130,50 @@ def align(pattern: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int,
     return int(d[end]), int(src[end]), end
 
 
+def distances(patterns: list, windows: list) -> np.ndarray:
+    """Fewest edits of each pattern in its window with free ends: one recurrence over all pairs at once."""
+    m, n = np.array([len(x) for x in patterns]), np.array([len(x) for x in windows])
+    p, t = np.full((len(m), m.max()), -1, np.int16), np.full((len(n), n.max()), -2, np.int16)
+    for i, (x, y) in enumerate(zip(patterns, windows, strict=True)):
+        p[i, : len(x)], t[i, : len(y)] = x, y
+    d, col, out = np.zeros((len(n), n.max() + 1), np.int16), np.arange(n.max() + 1, dtype=np.int16), np.zeros(len(m), np.int64)
+    after = col[None, :] > n[:, None]
+    for i in range(p.shape[1]):
+        new = d + 1
+        np.minimum(new[:, 1:], d[:, :-1] + (t != p[:, i : i + 1]), out=new[:, 1:])
+        new -= col
+        np.minimum.accumulate(new, axis=1, out=new)  # a run of insertions costs its length
+        new += col
+        d = new
+        if (done := m == i + 1).any():
+            out[done] = np.where(after[done], 30000, d[done]).min(1)
+    return out
+
+
 def find(index: Index, texts: list) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) of each matching item, in code points of the text."""
     raw = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
     at = np.append(0, np.cumsum([len(r) + SEGMENT for r in raw]))
     buf = normal(bytes(SEGMENT).join([*raw, b""]))
     seg, low = index.regions(buf)
+    todo = set()
+    for x, y in zip(seg.tolist(), low.tolist(), strict=True):
+        m, e, w = int(index.size[x]), int(index.edits[x]), index.width
+        row = int(np.searchsorted(at, y + w + m // 2, side="right")) - 1
+        for r in range(max(row - 1, 0), min(row + 2, len(raw))):
+            lo, hi = max(int(at[r]), y - e), min(int(at[r]) + len(raw[r]), y + 2 * w + m + e)
+            if hi - lo >= m - e:
+                todo.add((x, r, lo, hi))
+    todo = sorted(todo, key=lambda x: (index.size[x[0]], x))
     out: dict[tuple[int, int], list[int]] = {}
-    for s, x in zip(seg.tolist(), low.tolist(), strict=True):
-        m, e, w = int(index.size[s]), int(index.edits[s]), index.width
-        row = int(np.searchsorted(at, x + w + m // 2, side="right")) - 1
-        for r in {max(row - 1, 0), row, min(row + 1, len(raw) - 1)} if len(raw) > 1 else {0}:
-            a, b = max(int(at[r]), x - e), min(int(at[r]) + len(raw[r]) if r < len(raw) else 0, x + 2 * w + m + e)
-            if b - a < m - e:
-                continue
-            if (got := align(index.text[s], buf[a:b], e)) is not None:
-                key = (r, int(index.item[s]))
-                p = [a + got[1] - int(at[r]), a + got[2] - int(at[r]), got[0]]
+    for i in range(0, len(todo), 2048):
+        part = todo[i : i + 2048]
+        best = distances([index.text[x] for x, *_ in part], [buf[lo:hi] for *_, lo, hi in part])
+        for (x, r, lo, hi), d in zip(part, best.tolist(), strict=True):
+            if d <= index.edits[x]:
+                got = align(index.text[x], buf[lo:hi], int(index.edits[x]))
+                key = (r, int(index.item[x]))
+                p = [lo + got[1] - int(at[r]), lo + got[2] - int(at[r]), got[0]]
                 o = out.get(key)
                 out[key] = p if o is None else [min(o[0], p[0]), max(o[1], p[1]), min(o[2], p[2])]
     ends = lambda r, i: int(np.sum((np.frombuffer(raw[r][:i], np.uint8) & 0xC0) != 0x80))
