@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import discard, keep, table
 from .components import components
 from .vec import chunks, mix, runs, word_arrays
 
@@ -157,27 +157,32 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     rep = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     classes = keep(sig.select("doc_id", "n", "s1", "s2").join(rep, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     own = keep(full.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "low", "sig"), "representatives")
+    discard(sig)
 
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     met = own.select("id", "n", F.posexplode("low").alias("i", "m"))
     first = met.groupBy("i", "m").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("i", "m", "f")
     pairs = met.join(first, ["i", "m"]).where((F.col("f.id") < F.col("id")) & fits(F.col("n"), F.col("f.n"))).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    star = keep(verified(keep(pairs, "star-pairs"), texts, width, percent).distinct(), "star-links")
+    pairs = keep(pairs, "star-pairs")
+    star = keep(verified(pairs, texts, width, percent).distinct(), "star-links")
+    discard(pairs)
 
     group = star.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("g"))
-    own = own.drop("low").join(group, "id", "left").withColumn("g", F.coalesce("g", "id"))
-    cell = own.select("id", "n", "g", F.explode("sig").alias("h"))
+    grouped = own.drop("low").join(group, "id", "left").withColumn("g", F.coalesce("g", "id"))
+    cell = grouped.select("id", "n", "g", F.explode("sig").alias("h"))
     shared = cell.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
     rest = cell.join(shared, "h", "left_semi").groupBy("id", "n", "g").agg(F.count("*").alias("f")).where(F.col("f") >= least)
     rest = keep(rest.select("id", "n", "g"), "open-documents")
+    discard(own)
 
     # whole sets of the rest; twice: what the first pass closes makes shingles of others unique to their group
     j = rest.join(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "id")
     sets = j.mapInPandas(_whole_sets(width), "id long, n long, g long, hs array<long>")
-    for i in range(2):
-        sets = keep(_met_elsewhere(sets, percent), f"met-{i}")
+    once = keep(_met_elsewhere(sets, percent), "met-0")
+    sets = keep(_met_elsewhere(once, percent), "met-1")
+    discard(rest, once)
     probe = sets.select("id", "n", "g", F.size("hs").alias("r"), F.posexplode(F.slice("hs", F.lit(1), (F.size("hs") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "h")).withColumn("r", F.col("r") - F.col("pos"))
     matrix = probe.groupBy("h", F.col("g").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("most"))
     # r counts from the shingle on: at the first one that two sets share, it bounds what they share
@@ -188,7 +193,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     members = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.size("hs").alias("s"), F.col("g").alias("to"))
     own_bound = sets.select("id", F.size("hs").alias("w"))
     opened = candidates.join(own_bound, "id").join(members, "to").where(fits(F.col("n"), F.col("m")) & can(F.least("w", "s"), F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
-    cross = keep(verified(keep(opened, "opened-pairs"), texts, width, percent), "cross-links")
+    opened = keep(opened, "opened-pairs")
+    discard(sets)
+    cross = keep(verified(opened, texts, width, percent), "cross-links")
+    discard(opened)
     return classes, star.unionByName(cross)
 
 
