@@ -12,7 +12,8 @@ So a message's final text is its last ``message``/``edit``/``regenerate`` event
 followed by the deltas after it, found by one pass over the ordered events.
 
 Defined results: a null text is empty; a null kind is ``message``; events whose
-conversation id is null are dropped; ties in ``seq`` go by role and then text; a
+conversation id is null are dropped; two ``message`` events of one turn are two
+messages, repeated rows included; ties in ``seq`` go by role and then text; a
 message of deltas only is their concatenation; an empty log gives no rows; columns
 beyond the named ones are ignored. A message's role is that of its first event, a
 null role is empty.

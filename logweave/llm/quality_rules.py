@@ -72,17 +72,19 @@ def line_frequency(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: fl
     host or line that holds a large share of the rows is split by AQE's skew join.
     """
     host = F.coalesce(F.concat(F.lit("h"), F.col("source")), F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), host.alias("host"), F.transform(text_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.length(F.translate(x, " \t\x0b\f\r", "")).alias("c"))).alias("l"))
+    # numbered before lines are unfolded, so that a row's lines share its number
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("copy"), F.xxhash64("text").alias("th"), host.alias("host"), F.transform(text_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.length(F.translate(x, " \t\x0b\f\r", "")).alias("c"))).alias("l"))
     per_host = lines.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = lines.select("host", F.explode(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     over = counts.where(F.col("n") > max_docs).join(per_host, "host").where(F.col("n") > max_share * F.col("host_docs")).select("host", "h")
-    return lines.select("doc_id", "th", "host", F.monotonically_increasing_id().alias("copy"), F.inline("l")).join(over, ["host", "h"], "left_semi").groupBy("doc_id", "th", "host", "copy").agg(F.sum("c").alias("removed_chars"), F.count("*").alias("removed_lines"), F.collect_set("h").alias("removed_hashes"))
+    return lines.select("doc_id", "th", "host", "copy", F.inline("l")).join(over, ["host", "h"], "left_semi").groupBy("doc_id", "th", "host", "copy").agg(F.sum("c").alias("removed_chars"), F.count("*").alias("removed_lines"), F.collect_set("h").alias("removed_hashes"))
 
 
 def quality(docs: DataFrame, **limits) -> DataFrame:
-    """The documents with counts, removed_chars, removed_lines, base_failed, kept and cleaned (text without removed lines)."""
+    """doc_id, source and text with counts, removed_chars, removed_lines, base_failed, kept and cleaned (text without removed lines)."""
+    docs = docs.select("doc_id", "source", "text")
     base = base_counts(docs).withColumn("_th", F.xxhash64("text")).withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col("source")), F.lit("")))
-    lost = line_frequency(docs.select("doc_id", "source", "text"), **limits).select(F.col("doc_id").alias("_d"), F.col("th").alias("_lh"), F.col("host").alias("_lhost"), "removed_chars", "removed_lines", "removed_hashes").dropDuplicates(["_d", "_lh", "_lhost"])
+    lost = line_frequency(docs, **limits).select(F.col("doc_id").alias("_d"), F.col("th").alias("_lh"), F.col("host").alias("_lhost"), "removed_chars", "removed_lines", "removed_hashes").dropDuplicates(["_d", "_lh", "_lhost"])
     out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_lh")) & (F.col("_host") == F.col("_lhost")), "left")
     out = out.withColumns({"removed_chars": F.coalesce("removed_chars", F.lit(0)).cast("long"), "removed_lines": F.coalesce("removed_lines", F.lit(0)).cast("long")})
     left = F.col("word_chars") - F.col("removed_chars")
