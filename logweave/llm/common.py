@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters that separate words in every contract of this subpackage.
 SPLIT = "[\\x20\\x09-\\x0D]+"
 
@@ -29,21 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def released_shuffles(spark: SparkSession):
-    """Shuffle files of the executions inside go as soon as each has ended."""
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+def frugal(spark: SparkSession):
+    """Inside, shuffle files go as soon as their execution has ended, and texts go to Python in batches of bounded bytes."""
+    own = {CLEAN_SHUFFLES: "true", BATCH_BYTES: str(8 << 20)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    with released_shuffles(spark):
+    with frugal(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
@@ -64,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def buckets(df: DataFrame, times: int = 4) -> int:
     """Buckets for an exchange of packed arrays; follows the number of input splits."""
-    return max(32, times * df.rdd.getNumPartitions())
+    return times * max(32, df.rdd.getNumPartitions())
 
 
 def words(text: Column) -> Column:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep, table
+from .common import buckets, discard, keep, table
 from .vec import chunks, mix, word_arrays
 
 MIN_COUNT = 2
@@ -140,7 +140,8 @@ class KatzModel:
 
 
 def parts(docs: DataFrame) -> int:
-    return max(32, docs.rdd.getNumPartitions())
+    """Buckets: a bucket goes through memory as a whole, so there are two for each input split."""
+    return buckets(docs, 2)
 
 
 def fit(docs: DataFrame, min_count: int = MIN_COUNT) -> KatzModel:
@@ -273,7 +274,7 @@ def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     w = pack(False).cogroup(to(model.words, "w")).applyInPandas(_score_words(model.n, model.v), "key long, base double, back double, known long, n long, ends long")
     w = keep(w.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("base", "back", "known", "n", "ends"))), "katz-word-sums")
     b = pack(True).cogroup(to(model.corrections, "k")).applyInPandas(_score_bigrams, "key long, delta double")
-    b = b.groupBy("key").agg(F.sum("delta").alias("delta"))
+    b = keep(b.groupBy("key").agg(F.sum("delta").alias("delta")), "katz-bigram-sums")
     # rows that repeat a whole row share a key; "ends" is their number
     sums = w.join(b, "key", "left")
     return d.select("doc_id", "key").join(sums, "key").select(

@@ -26,7 +26,7 @@ _POW: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64, for i < n."""
     if not _POW or len(_POW[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         out = []
         for b in (_BASE, _INV):
             a = np.full(size, b, np.uint64)
@@ -80,5 +80,8 @@ def word_arrays(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     p, q = powers(len(buf) + 1)
     c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _TABLE)[buf] * p[:-1], out=c[1:])
+    value = (_LOWER if lower else _TABLE)[buf]
+    value *= p[:-1]
+    np.cumsum(value, out=c[1:])
+    del value
     return mix((c[ends] - c[starts]) * q[starts]), np.searchsorted(starts, at), buf, starts, ends
