@@ -1,18 +1,20 @@
-"""Language-model scoring: a Katz back-off bigram model in partitioned tables.
+"""Language-model scoring: a Katz back-off model of any order in partitioned tables.
 
 Tokens are words (A-Z lower-cased) and one end per document; a document starts
-from a begin mark. Counts cover every training document. A bigram seen at least
-``MIN_COUNT`` times keeps a Good-Turing discounted share; rarer ones give all their
-mass to the back-off, whose weight per history is exactly normalised against the
-unigrams. Unigrams are (c + 0.5) / (N + 0.5 (V + 1)), which sum to 1 over the V known
-words and one unknown.
-
-    P(w | h) = d(c) c / C(h)      if the bigram is kept, else alpha(h) P(w)
-
-In logs a document's score is a sum over its words of log P(w) + log alpha(h), plus
-for each kept bigram a correction; so two exchanges of packed arrays do, one keyed
-by word and one by bigram. Each chunk of documents sends a key once, with the
-documents that hold it, so a very frequent word or bigram costs one entry a chunk,
+from one begin mark, so its first words have shorter histories. Counts cover every
+training document. An n-gram seen at least ``min_count`` times keeps a Good-Turing
+discounted share, by counts of counts of its order; the rest of a history's mass goes
+to the back-off, exactly normalised against the next lower order. Unigrams are
+(c + 0.5) / (N + 0.5 (V + 1)), which sum to 1 over the V known words and one unknown.
+h' is h without its first word:
+
+    P(w | h) = d(c) c / C(h)      if the n-gram is kept, else alpha(h) P(w | h')
+
+A kept n-gram's shorter forms are kept too. So in logs a document's score is a sum over
+its words of log P(w) and log alpha of each history, plus for each kept n-gram a
+correction, which also holds log alpha of the n-gram as a history: one exchange of
+packed arrays an order does. Each chunk of documents sends a key once, with the
+documents that hold it, so a very frequent word or n-gram costs one entry a chunk,
 never one a row. No model is broadcast or collected.
 
 Defined results: null and blank texts have one token, the end; with no training
@@ -22,6 +24,7 @@ a null doc_id counts as training. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ from .common import buckets, discard, keep, table
 from .vec import chunks, mix, word_arrays
 
 MIN_COUNT = 2
+#: What the registered query uses: trigrams, and n-grams seen once are kept.
+ORDER, LEAST = 3, 1
 GT_MAX = 5
 CHUNK = 1 << 21
 SALT = 8
@@ -62,6 +67,18 @@ def bigram_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(h * _K1) + w * _K2)
 
 
+def grams(t: np.ndarray, at: np.ndarray, order: int):
+    """(history key, key without the first word, own key, place of the last word) of each n-gram of this order, 2 or more."""
+    pos = np.arange(len(t)) - np.repeat(at[:-1], np.diff(at))
+    h, s = histories(t, at), t
+    k = bigram_key(h, t)
+    for _ in range(2, order):
+        h, s = np.roll(k, 1), k
+        k = bigram_key(h, t)
+    i = np.flatnonzero(pos >= order - 2)
+    return h[i], s[i], k[i], i
+
+
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     """As pmod(x, n) of the signed value in SQL."""
     return (x.view(np.int64) % n).astype(np.int32)
@@ -75,25 +92,28 @@ def _count_words(batches):
             yield pd.DataFrame({"w": w.view(np.int64), "c": n.astype(np.int64)})
 
 
-def _pack_bigrams(nb: int):
+def _pack_grams(nb: int, order: int):
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for a, b in chunks(texts, CHUNK):
                 t, at = tokens(texts[a:b])
-                h = histories(t, at)
-                _, i, n = np.unique(bigram_key(h, t), return_index=True, return_counts=True)
-                h, t = h[i], t[i]
-                # all bigrams of a history go to SALT buckets at most, by the next word
+                h, s, k, i = grams(t, at, order)
+                if not len(i):
+                    continue
+                t = t[i]
+                _, i, n = np.unique(k, return_index=True, return_counts=True)
+                h, s, t = h[i], s[i], t[i]
+                # all n-grams of a history go to SALT buckets at most, by the next word
                 to = bucket_of(mix(h + t % _U(SALT)), nb)
                 o = np.lexsort((h, to))
-                to, h, t, n = to[o], h[o], t[o], n[o].astype(np.uint32)
+                to, h, s, t, n = to[o], h[o], s[o], t[o], n[o].astype(np.uint32)
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
                 rows = []
                 for x, y in zip(cut, [*cut[1:], len(to)], strict=True):
                     g = np.flatnonzero(np.diff(h[x:y], prepend=~h[x]) != 0)
-                    rows.append((int(to[x]), h[x:y][g].tobytes(), np.diff([*g, y - x]).astype(np.uint32).tobytes(), t[x:y].tobytes(), n[x:y].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "h", "hn", "w", "n"])
+                    rows.append((int(to[x]), h[x:y][g].tobytes(), np.diff([*g, y - x]).astype(np.uint32).tobytes(), t[x:y].tobytes(), b"" if order == 2 else s[x:y].tobytes(), n[x:y].tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "h", "hn", "w", "s", "n"])
 
     return run
 
@@ -102,9 +122,10 @@ def _join(pdf: pd.DataFrame, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in pdf[column]]) if len(pdf) else np.zeros(0, kind)
 
 
-def _sum_bigrams(least: int, most: int):
+def _sum_grams(least: int, most: int, order: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w, n = np.repeat(_join(pdf, "h", np.uint64), _join(pdf, "hn", np.uint32)), _join(pdf, "w", np.uint64), _join(pdf, "n", np.uint32)
+        s = w if order == 2 else _join(pdf, "s", np.uint64)
         k = bigram_key(h, w)
         o = np.argsort(k)
         k = k[o]
@@ -114,8 +135,8 @@ def _sum_bigrams(least: int, most: int):
         few = np.bincount(np.minimum(total, most + 2), minlength=most + 3)
         got = total >= least
         i = at[got]
-        tail = pd.DataFrame({"kind": 1, "h": np.arange(1, most + 2), "w": 0, "k": 0, "c": few[1 : most + 2]})
-        return pd.concat([pd.DataFrame({"kind": 0, "h": h[i].view(np.int64), "w": w[i].view(np.int64), "k": k[first[got]].view(np.int64), "c": total[got]}), tail]).astype({"kind": "int32"})
+        tail = pd.DataFrame({"kind": 1, "h": np.arange(1, most + 2), "s": 0, "k": 0, "c": few[1 : most + 2]})
+        return pd.concat([pd.DataFrame({"kind": 0, "h": h[i].view(np.int64), "s": s[i].view(np.int64), "k": k[first[got]].view(np.int64), "c": total[got]}), tail]).astype({"kind": "int32"})
 
     return run
 
@@ -133,51 +154,62 @@ def discounts(of: dict[int, int], least: int = MIN_COUNT, most: int = GT_MAX) ->
 
 
 class KatzModel:
-    """words(w, c, loga) and corrections(k, delta), as tables; totals as numbers."""
+    """words(w, c, loga) and per order from 2 corrections(k, delta), as tables; totals as numbers; discounts per order."""
 
-    def __init__(self, words: DataFrame, corrections: DataFrame, n: int, v: int, begin: float, discount: dict):
-        self.words, self.corrections, self.n, self.v, self.begin, self.discount = words, corrections, n, v, begin, discount
+    def __init__(self, words: DataFrame, corrections: list[DataFrame], n: int, v: int, begin: float, discounts: list[dict]):
+        self.words, self.corrections, self.n, self.v, self.begin, self.discounts = words, corrections, n, v, begin, discounts
 
 
-def parts(docs: DataFrame) -> int:
-    """Buckets: a bucket goes through memory as a whole, so there are two for each input split."""
-    return buckets(docs, 2)
+def parts(docs: DataFrame, order: int = 2, least: int = MIN_COUNT) -> int:
+    """Buckets: a bucket goes through memory as a whole, so there are two for each input split, and more for more n-grams."""
+    return buckets(docs, 2 * (order - 1) * (1 if least > 1 else 2))
 
 
-def fit(docs: DataFrame, min_count: int = MIN_COUNT) -> KatzModel:
+def fit(docs: DataFrame, min_count: int = MIN_COUNT, order: int = 2) -> KatzModel:
     """docs(text): the training documents."""
-    spark, nb = docs.sparkSession, parts(docs)
+    spark = docs.sparkSession
     texts = docs.select("text")
     vocab = keep(texts.mapInPandas(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "katz-words")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_docs = vocab.where(F.col("w") == int(END.view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    packed = texts.mapInPandas(_pack_bigrams(nb), "bucket int, h binary, hn binary, w binary, n binary")
-    counted = keep(packed.groupBy("bucket").applyInPandas(_sum_bigrams(min_count, GT_MAX), "kind int, h long, w long, k long, c long"), "katz-bigrams")
-    of = {r: c for r, c in counted.where("kind = 1").groupBy("h").agg(F.sum("c")).collect()}
-    d = discounts(of, min_count)
-    bigrams = counted.where("kind = 0").select("h", "w", "k", "c")
-    factor = F.lit(1.0)
-    for r, x in d.items():
-        factor = F.when(F.col("c") == r, x).otherwise(factor)
-    p1 = (F.col("wc") + 0.5) / F.lit(n + 0.5 * (v + 1))
-    with_w = bigrams.join(vocab.select(F.col("w"), F.col("c").alias("wc")), "w").select("h", "k", (factor * F.col("c")).alias("dc"), p1.alias("p1"))
-    with_w = keep(with_w, "katz-shares")
-    total = vocab.where(F.col("w") != int(END.view(np.int64))).select(F.col("w").alias("h"), F.col("c").alias("hc"))
-    total = total.unionByName(spark.range(1).select(F.lit(int(BEGIN.view(np.int64))).alias("h"), F.lit(int(n_docs)).cast("long").alias("hc")))
-    per = with_w.groupBy("h").agg(F.sum("dc").alias("sd"), F.sum("p1").alias("sp")).join(total, "h")
-    # a history whose discounted shares leave nothing keeps a floor, and its shares are scaled to what is left
-    left = F.greatest(1 - F.col("sd") / F.col("hc"), F.lit(1e-6))
-    per = per.select("h", "hc", (left / F.greatest(1 - F.col("sp"), F.lit(1e-12))).alias("alpha"), ((1 - left) / (F.col("sd") / F.col("hc"))).alias("scale"))
-    alphas = keep(per, "katz-alphas")
-    begin = alphas.where(F.col("h") == int(BEGIN.view(np.int64))).select(F.log10("alpha")).first()
-    corrections = with_w.join(alphas, "h").select("k", (F.log10(F.col("scale") * F.col("dc") / F.col("hc")) - F.log10("p1") - F.log10("alpha")).alias("delta"))
-    corrections = keep(corrections, "katz-corrections")
-    discard(counted, with_w)
-    words = vocab.join(alphas.select(F.col("h").alias("w"), F.log10("alpha").alias("loga")), "w", "left").select("w", "c", F.coalesce("loga", F.lit(0.0)).alias("loga"))
-    return KatzModel(words, corrections, int(n), int(v), float(begin[0]) if begin else 0.0, d)
-
-
-def _pack_docs(nb: int, bigrams: bool):
+    end, start = int(END.view(np.int64)), int(BEGIN.view(np.int64))
+    n_docs = vocab.where(F.col("w") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    lower = vocab.select(F.col("w").alias("s"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
+    total = vocab.where(F.col("w") != end).select(F.col("w").alias("h"), F.col("c").alias("hc"))
+    total = total.unionByName(spark.range(1).select(F.lit(start).alias("h"), F.lit(int(n_docs)).cast("long").alias("hc")))
+    tables, corrections, used = [], [], []
+    words, begin = None, None
+    for m in range(2, order + 1):
+        packed = texts.mapInPandas(_pack_grams(parts(docs, m, min_count), m), "bucket int, h binary, hn binary, w binary, s binary, n binary")
+        counted = keep(packed.groupBy("bucket").applyInPandas(_sum_grams(min_count, GT_MAX, m), "kind int, h long, s long, k long, c long"), "katz-grams")
+        used.append(discounts({r: c for r, c in counted.where("kind = 1").groupBy("h").agg(F.sum("c")).collect()}, min_count))
+        factor = F.lit(1.0)
+        for r, x in used[-1].items():
+            factor = F.when(F.col("c") == r, x).otherwise(factor)
+        own = counted.where("kind = 0")
+        shares = keep(own.join(lower, "s").select("h", "k", "c", (factor * F.col("c")).alias("dc"), "p"), "katz-shares")
+        per = shares.groupBy("h").agg(F.sum("dc").alias("sd"), F.sum("p").alias("sp")).join(total, "h")
+        # a history whose discounted shares leave nothing keeps a floor, and its shares are scaled to what is left
+        left = F.greatest(1 - F.col("sd") / F.col("hc"), F.lit(1e-6))
+        per = per.select("h", "hc", (left / F.greatest(1 - F.col("sp"), F.lit(1e-12))).alias("alpha"), ((1 - left) / (F.col("sd") / F.col("hc"))).alias("scale"))
+        alphas = keep(per, "katz-alphas")
+        if m == 2:
+            begin = alphas.where(F.col("h") == start).select(F.log10("alpha")).first()
+            words = vocab.join(alphas.select(F.col("h").alias("w"), F.log10("alpha").alias("loga")), "w", "left").select("w", "c", F.coalesce("loga", F.lit(0.0)).alias("loga"))
+        else:
+            # an n-gram stands before the next word wherever it occurs, so its weight as a history goes with its correction
+            as_history = alphas.select(F.col("h").alias("k"), F.log10("alpha").alias("loga"))
+            corrections.append(keep(tables[-1].join(as_history, "k", "left").select("k", (F.col("delta") + F.coalesce("loga", F.lit(0.0))).alias("delta")), "katz-corrections"))
+        share = F.col("scale") * F.col("dc") / F.col("hc")
+        delta = F.log10(share) - F.log10("p") - F.log10("alpha")
+        table_ = shares.join(alphas, "h").select("k", delta.alias("delta"), *([] if m == order else [share.alias("p"), "c"]))
+        tables.append(keep(table_, "katz-corrections"))
+        discard(counted, shares, *tables[:-1][-1:])
+        if m < order:
+            lower, total = tables[-1].select(F.col("k").alias("s"), "p"), tables[-1].select(F.col("k").alias("h"), F.col("c").alias("hc"))
+    return KatzModel(words, [*corrections, tables[-1]], int(n), int(v), float(begin[0]) if begin else 0.0, used)
+
+
+def _pack_docs(nb: int, order: int):
     """Rows (bucket, keys, first entry of each key, row number in the chunk and count of each entry, row keys)."""
 
     def run(batches):
@@ -186,7 +218,12 @@ def _pack_docs(nb: int, bigrams: bool):
             for a, b in chunks(texts, CHUNK):
                 t, at = tokens(texts[a:b])
                 row = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(at))
-                k = bigram_key(histories(t, at), t) if bigrams else t
+                k = t
+                if order > 1:
+                    *_, k, i = grams(t, at, order)
+                    row = row[i]
+                    if not len(i):
+                        continue
                 to = bucket_of(k, nb)
                 o = np.lexsort((k, to))
                 to, k, row = to[o], k[o], row[o]  # stable: rows ascend within a key
@@ -252,7 +289,7 @@ def _score_words(n_all: int, v: int):
     return run
 
 
-def _score_bigrams(packed: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
+def _score_grams(packed: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
     table_ = table_.sort_values("k")
     sk, sd = table_["k"].to_numpy(np.int64), table_["delta"].to_numpy(np.float64)
     out = []
@@ -267,14 +304,19 @@ def _score_bigrams(packed: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
 
 def score(docs: DataFrame, model: KatzModel) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, base_score, score."""
-    nb = parts(docs)
     d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    to = lambda t, c: t.withColumn("bucket", F.pmod(c, F.lit(nb)).cast("int")).groupBy("bucket")
-    pack = lambda b: d.select("key", "text").mapInPandas(_pack_docs(nb, b), _PACKED).groupBy("bucket")
-    w = pack(False).cogroup(to(model.words, "w")).applyInPandas(_score_words(model.n, model.v), "key long, base double, back double, known long, n long, ends long")
+    least = min(model.discounts[0], default=MIN_COUNT)
+    to = lambda t, c, nb: t.withColumn("bucket", F.pmod(c, F.lit(nb)).cast("int")).groupBy("bucket")
+    pack = lambda m, nb: d.select("key", "text").mapInPandas(_pack_docs(nb, m), _PACKED).groupBy("bucket")
+    nb = parts(docs)
+    w = pack(1, nb).cogroup(to(model.words, "w", nb)).applyInPandas(_score_words(model.n, model.v), "key long, base double, back double, known long, n long, ends long")
     w = keep(w.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("base", "back", "known", "n", "ends"))), "katz-word-sums")
-    b = pack(True).cogroup(to(model.corrections, "k")).applyInPandas(_score_bigrams, "key long, delta double")
-    b = keep(b.groupBy("key").agg(F.sum("delta").alias("delta")), "katz-bigram-sums")
+    sums = []
+    for m, own in enumerate(model.corrections, 2):
+        nb = parts(docs, m, least)
+        g = pack(m, nb).cogroup(to(own, "k", nb)).applyInPandas(_score_grams, "key long, delta double")
+        sums.append(keep(g.groupBy("key").agg(F.sum("delta").alias("delta")), "katz-gram-sums"))
+    b = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("delta").alias("delta"))
     # rows that repeat a whole row share a key; "ends" is their number
     sums = w.join(b, "key", "left")
     return d.select("doc_id", "key").join(sums, "key").select(
@@ -293,7 +335,7 @@ def held(doc_id, mod: int, rest: int):
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.where(~held("doc_id", 5, 1)))
+    model = fit(docs.where(~held("doc_id", 5, 1)), LEAST, ORDER)
     out = score(docs, model)
     return out.select("doc_id", held("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
