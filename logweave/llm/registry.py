@@ -17,8 +17,9 @@ def queries():
         "op8_toxicity_crf": toxicity.op8_toxicity_crf,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_quality_trees": quality_trees.op10_quality_trees,
+        "op2_absolute_line_limit": quality_rules.op2_absolute_line_limit,
     }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op7_chat_formatting": chat.OP7_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op7_chat_formatting": chat.OP7_SQL, "op2_absolute_line_limit": quality_rules.OP2_ABSOLUTE_SQL}
