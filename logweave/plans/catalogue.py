@@ -40,6 +40,13 @@ def weighed(s, d):
     return x.withColumn("weight", W.record(W.string(F.col("key")), W.string(F.col("value")), F.col("topic")))
 
 
+def _pause_resume_whole(s, d):
+    """Every record, under a budget a fiftieth above the whole table's size, so that some queues are over their part at any size."""
+    sizes = flow.queue_sizes(weighed(s, d))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return flow.pause_resume(sizes, int(total) * 51 // 50)
+
+
 def points(s, d):
     return ledger(s, d).where("off % 5 = 0").select("topic", "part", F.col("off").alias("x"))
 
@@ -105,6 +112,7 @@ _ALL = {
     "queue_growth": (lambda s, d: flow.queue_growth(weighed(s, d)).select("topic", "part", "off", "size"), sql("SELECT topic, part, off, (sum(weight) OVER (PARTITION BY topic, part, subpartition ORDER BY off))::BIGINT AS size FROM subs", subs=SUBS)),
     "queue_sizes": (lambda s, d: flow.queue_sizes(weighed(s, d)), sql("SELECT topic, part, subpartition::INT AS subpartition, size FROM sz", subs=SUBS, sz=SIZES)),
     "pause_resume": (lambda s, d: flow.pause_resume(flow.queue_sizes(weighed(s, d).where("off < 30")), BUDGET), sql(f"SELECT topic, part, max(size) AS largest, any_value(total) >= {BUDGET} OR max(size) >= {BUDGET} // any_value(n) AS pause, any_value(total) < {BUDGET} AND max(size) <= floor(({BUDGET} // any_value(n)) * 0.9) AS resume FROM (SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n FROM sz) GROUP BY topic, part", subs=SUBS + " WHERE off < 30", sz=SIZES)),
+    "pause_resume_whole": (_pause_resume_whole, sql("SELECT topic, part, max(size) AS largest, any_value(total) >= any_value(b) OR max(size) >= any_value(b) // any_value(n) AS pause, any_value(total) < any_value(b) AND max(size) <= floor((any_value(b) // any_value(n)) * 0.9) AS resume FROM (SELECT *, total * 51 // 50 AS b FROM (SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n FROM sz)) GROUP BY topic, part", subs=SUBS, sz=SIZES)),
     "accepted_prefix": (lambda s, d: flow.accepted_prefix(sub(s, d), F.col("ok")).select("topic", "part", "off", "subpartition"), sql("SELECT topic, part, off, subpartition::INT AS subpartition FROM (SELECT *, min(ok::INT) OVER (PARTITION BY topic, part, subpartition ORDER BY off) AS m FROM subs) WHERE m = 1", subs=SUBS)),
     "time_merge": (lambda s, d: flow.time_merge(ledger(s, d), "click", "view").select("topic", "part", "off", "ts"), sql("SELECT topic, part, off, ts FROM (SELECT *, max(CASE WHEN topic = 'click' THEN ts END) OVER (PARTITION BY part) AS a, max(CASE WHEN topic = 'view' THEN ts END) OVER (PARTITION BY part) AS b FROM ledger WHERE topic IN ('click', 'view')) WHERE ts <= a AND ts <= b")),
     "guarantee_none": (lambda s, d: flow.apply_guarantee(ledger(s, d), "none").select("topic", "part", "off", "ok", "dead_letter"), sql("SELECT topic, part, off, true AS ok, NOT ok AS dead_letter FROM ledger")),
