@@ -16,9 +16,13 @@
    groups that pass both tests are opened, and their members of fitting size and bound
    verified on whole texts.
 5. Links and classes give components.
+6. For the number of links, groups of three or more sets are cut into blocks of about
+   ``BLOCK`` shingles, and each two blocks of a group meet once: the overlaps of all
+   their sets are counted at once, so every two sets of a group are compared.
 
 Groups are counted, not their members, so thousands of near copies cost one entry a
-shingle. No pairs of a group are formed and nothing is capped or sampled.
+shingle. No table of the pairs of a group is made and nothing is capped or sampled.
+A document's links are the other documents at the threshold, with those of equal sets.
 
 Defined results: null and blank texts have an empty set and link with nothing; texts
 below the shingle width are one shingle; a null doc_id links with nothing and has a
@@ -32,13 +36,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep, table
+from .common import buckets, discard, keep, table
 from .components import components
 from .vec import chunks, mix, runs, word_arrays
 
 WIDTH, PERCENT = 3, 90
 SEEDS = np.array([0, 0x51ED270B35AC8F17, 0x2C8A19F4D3B7E605], np.uint64)
 CHUNK = 1 << 21
+BLOCK = 1 << 18
 
 
 def shingle_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +149,71 @@ def _met_elsewhere(sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.size("x") >= percent * F.col("n")).select("id", "n", "g", F.transform("x", lambda x: x["h"]).alias("hs"))
 
 
+def overlaps(sets: list, others: list) -> np.ndarray:
+    """Sizes of the overlaps of each set with each of the others (arrays without repeats)."""
+    own, far = np.concatenate(sets), np.concatenate(others)
+    ra, rb = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    ids, inv = np.unique(np.concatenate([own, far]), return_inverse=True)
+    ia, ib = inv[: len(own)], inv[len(own) :]
+    ca, cb = np.bincount(ia, minlength=len(ids)), np.bincount(ib, minlength=len(ids))
+    # shingles of every set count for every pair; those of one side only for none
+    everywhere = (ca == len(sets)) & (cb == len(others))
+    out = np.full((len(sets), len(others)), int(everywhere.sum()), np.int64)
+    use = (ca > 0) & (cb > 0) & ~everywhere
+    column = np.cumsum(use) - 1
+    ka, kb = use[ia], use[ib]
+    ra, ia, rb, ib = ra[ka], column[ia[ka]], rb[kb], column[ib[kb]]
+    oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+    ra, ia, rb, ib = ra[oa], ia[oa], rb[ob], ib[ob]
+    width = max(1, (1 << 22) // max(len(sets), len(others)))
+    for x in range(0, int(use.sum()), width):
+        a, b = (slice(*np.searchsorted(i, [x, x + width])) for i in (ia, ib))
+        p, q = np.zeros((len(sets), width), np.float32), np.zeros((len(others), width), np.float32)
+        p[ra[a], ia[a] - x] = 1
+        q[rb[b], ib[b] - x] = 1
+        out += (p @ q.T).astype(np.int64)
+    return out
+
+
+def _count_inside(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), cell in pdf.groupby(["g", "i", "j"], sort=False):
+            a, b = (cell[cell["block"] == x] for x in (i, j))
+            if not len(a) or not len(b) or (i == j and len(a) == 1):
+                continue
+            n, m = a["n"].to_numpy(np.int64)[:, None], b["n"].to_numpy(np.int64)[None, :]
+            both = overlaps(a["hs"].tolist(), b["hs"].tolist())
+            got = (both > 0) & (100 * both >= percent * (n + m - both))
+            if i == j:
+                np.fill_diagonal(got, False)
+            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "links": got @ b["copies"].to_numpy(np.int64)}))
+            if i != j:
+                out.append(pd.DataFrame({"id": b["id"].to_numpy(), "links": got.T @ a["copies"].to_numpy(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+
+    return run
+
+
+def inside(members: DataFrame, texts: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """members(id, n, g, copies) of groups -> id, links: documents of other sets of its group that it links with."""
+    per = members.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1").select("g", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    m = members.join(per, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sets = m.join(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "id").mapInPandas(_whole_sets(width), "id long, g long, n long, copies long, blocks long, block long, hs array<long>")
+    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("id", "g", "n", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "hs")
+    cells = cells.withColumn("cell", F.pmod(F.xxhash64("g", "i", "j"), F.lit(parts)))
+    return cells.groupBy("cell").applyInPandas(_count_inside(percent), "id long, links long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs(a, b) that link, by the whole texts (doc_id, text)."""
     j = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return j.select("a", "b", "ta", "tb").mapInPandas(_verify(width, percent), "a long, b long")
 
 
-def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (classes: doc_id, n, rep; links between representatives: a, b, enough to connect each component)."""
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """docs(doc_id, text) -> (classes: doc_id, n, rep; links between representatives: a, b, enough to connect each component; with count, rep and n_links)."""
     sig = keep(docs.select("doc_id", "text").mapInPandas(_signatures(width, percent), "doc_id long, n long, s1 long, s2 long, low array<long>, sig array<long>"), "signatures")
     full = sig.where("n > 0 AND doc_id IS NOT NULL")
     rep = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -175,6 +237,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
     rest = cell.join(shared, "h", "left_semi").groupBy("id", "n", "g").agg(F.count("*").alias("f")).where(F.col("f") >= least)
     rest = keep(rest.select("id", "n", "g"), "open-documents")
+    if count:
+        copies = classes.where("rep IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.countDistinct("doc_id").alias("copies"))
+        roster = keep(grouped.select("id", "n", "g").join(copies, "id"), "group-members")
+        within = keep(inside(roster, texts, width, percent, buckets(docs)), "inside-links")
     discard(own)
 
     # whole sets of the rest; twice: what the first pass closes makes shingles of others unique to their group
@@ -197,15 +263,25 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     discard(sets)
     cross = keep(verified(opened, texts, width, percent), "cross-links")
     discard(opened)
-    return classes, star.unionByName(cross)
-
-
-def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, rep (class of equal sets), component_id; one row per row of docs."""
-    classes, found = links(docs, width, percent)
+    found = star.unionByName(cross)
+    if not count:
+        return classes, found, None
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    group_of = roster.select(F.col("id").alias("a"), F.col("g").alias("ga"))
+    far = roster.select(F.col("id").alias("b"), F.col("g").alias("gb"), "copies")
+    between = both.join(group_of, "a").join(far, "b").where("ga <> gb").select(F.col("a").alias("id"), F.col("copies").alias("links"))
+    # equal sets link too
+    each = roster.select("id", (F.col("copies") - 1).alias("links")).unionByName(within).unionByName(between)
+    return classes, found, each.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, rep (class of equal sets), component_id and, with count, n_links; one row per row of docs."""
+    classes, found, linked = links(docs, width, percent, count)
     parts = components(found)
     joined = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.join(linked, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")) if count else out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,4 +291,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(table(spark, sf_dir, "documents"), count=True).select("doc_id", "n_shingles", "component_id", "n_links")
