@@ -2,7 +2,8 @@
 
 A transducer rewrites a text: homoglyphs and full-width forms become ASCII one for
 one, then spelled digits, "plus", and at/dot disguises become the characters they
-stand for. Each output character carries the source span it came from. The
+stand for: bare ones wherever an ip of four parts or an address with a domain of two
+parts or more comes of it. Each output character carries the source span it came from. The
 detectors run on the rewritten text and their spans map back; a mapped span is
 added unless it overlaps one of its own kind that was found in the source.
 
@@ -55,9 +56,17 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?P<plus>plus)[ -]?)?(?:{_WORD})(?:(?:[ ,-]|, )(?:{_WORD})){{3,}}(?!\w)", re.I)
 _ONE_WORD = re.compile(_WORD, re.I)
 _BRACKET = re.compile(rf" ?[(\[{{<] ?(?:(?P<at>{AT_WORDS}|@)|(?P<dot>{DOT_WORDS}|\.)) ?[)\]}}>] ?", re.I)
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<l>[A-Za-z0-9._%+-]++)(?P<a> (?:{AT_WORDS}) )[A-Za-z0-9-]++(?:(?P<d> (?:{DOT_WORDS}) |\.)[A-Za-z0-9-]++)*? (?:{DOT_WORDS}) [A-Za-z]{{2,}}\b", re.I)
-_AT_GAP, _DOT_GAP = re.compile(f" (?:{AT_WORDS}) ", re.I), re.compile(f" (?:{DOT_WORDS}) ", re.I)
-_HINT = re.compile(rf"[(\[{{<] ?(?:{AT_WORDS}|{DOT_WORDS}|@|\.) ?[)\]}}>]| (?:{DOT_WORDS}) ", re.I)
+_DOT = rf"(?: ?[(\[{{<] ?(?:{DOT_WORDS}|\.) ?[)\]}}>] ?| (?:{DOT_WORDS}) |\.)"
+_AT = rf"(?: ?[(\[{{<] ?(?:{AT_WORDS}|@) ?[)\]}}>] ?| (?:{AT_WORDS}|@) |@)"
+# what follows the local part of an address, and the dot before a piece of the local part
+_HOST = re.compile(rf"(?P<a>{_AT})(?P<h>[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)
+_DOT_BEFORE = re.compile(rf" (?:{DOT_WORDS}) \Z", re.I)
+_ANY_DOT = re.compile(_DOT, re.I)
+# at most three digit words a part, as more are no part of an ip
+_PART = rf"(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_WORD})(?:[ -](?:{_WORD})){{0,2}}(?!\w))"
+_IP_LIKE = re.compile(rf"{_PART}(?:{_DOT}{_PART}){{3}}", re.I)
+_ONE_WORD_OR_DOT = re.compile(rf"(?P<dot>{_DOT})|[0-9]+|{_WORD}", re.I)
+_HINT = re.compile(rf"[(\[{{<] ?(?:{AT_WORDS}|{DOT_WORDS}|@|\.) ?[)\]}}>]| (?:{AT_WORDS}|{DOT_WORDS}|@) ", re.I)
 
 
 def emails(t: str):
@@ -100,18 +109,63 @@ def detect(t: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails(t) if "@" in t else [], "ip": ips(t) if "." in t else [], "card": cards(t), "phone": phones(t) if "+" in t else []}
 
 
+def _addresses(n: str):
+    """Swaps for the separators of addresses that have a local part and a domain of two parts or more."""
+    end = 0
+    for m in _HOST.finditer(n):
+        b = m.start()
+        swaps = []
+        while True:
+            a = b
+            while a > end and n[a - 1] in _LOCAL:
+                a -= 1
+            if a == b:
+                # a dot that no piece stands before is a word
+                swaps = swaps[:-1]
+                break
+            d = _DOT_BEFORE.search(n, max(end, a - 8), a)
+            if not d:
+                break
+            swaps.append((d.start(), a, "."))
+            b = d.start()
+        if m.start() > end and n[m.start() - 1] in _LOCAL:
+            yield from swaps
+            yield m.start("a"), m.end("a"), "@"
+            yield from ((*d.span(), ".") for d in _ANY_DOT.finditer(n, *m.span("h")) if d[0] != ".")
+            end = m.end()
+
+
+def _spelled_ips(n: str):
+    """(swaps, spans) of four parts around dots, each of digits or of up to three digit words."""
+    swaps, spans = [], []
+    for m in _IP_LIKE.finditer(n):
+        spans.append(m.span())
+        last = None
+        for w in _ONE_WORD_OR_DOT.finditer(n, *m.span()):
+            if w["dot"]:
+                swaps.append((*w.span(), "."))
+                last = None
+                continue
+            if last is not None and w.start() > last:
+                swaps.append((last, w.start(), ""))
+            if not w[0].isdigit():
+                swaps.append((*w.span(), DIGIT_WORDS[w[0].lower()]))
+            last = w.end()
+    return swaps, spans
+
+
 def normalise(t: str):
     """(rewritten text, source start of each character, source end of each) or None if nothing is disguised."""
     homo = not t.isascii() and _HAS_HOMO.search(t) is not None
     n = t.translate(_HOMO) if homo else t
-    swaps = []
+    swaps, ip_spans = [], []
     if _HINT.search(n):
         swaps += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(n)]
-        for m in _BARE.finditer(n):
-            a, b = m.span()
-            g = _AT_GAP.search(n, m.end("l"), b)
-            swaps.append((g.start(), g.end(), "@"))
-            swaps += [(d.start(), d.end(), ".") for d in _DOT_GAP.finditer(n, g.end() - 1, b)]
+        swaps += _addresses(n)
+    if _HINT.search(n) or "." in n:
+        own, ip_spans = _spelled_ips(n)
+        swaps += [x for x in own if n[x[0] : x[1]] != x[2]]
+    edges = {x for span in ip_spans for x in span}
     for m in _SPELLED.finditer(n):
         if m["plus"]:
             swaps.append((m.start(), m.start() + 4, "+"))
@@ -119,7 +173,7 @@ def normalise(t: str):
                 swaps.append((m.start() + 4, m.start() + 5, ""))
         last = None
         for w in _ONE_WORD.finditer(n, m.end("plus") if m["plus"] else m.start(), m.end()):
-            if last is not None and w.start() > last:
+            if last is not None and w.start() > last and not {last, w.start()} & edges:
                 swaps.append((last, w.start(), ""))
             swaps.append((w.start(), w.end(), DIGIT_WORDS[w[0].lower()]))
             last = w.end()
