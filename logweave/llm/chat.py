@@ -3,26 +3,31 @@
 A conversation is a log of events ordered by ``seq``; each event names the message
 (``turn``) it acts on. ``fold_events`` folds them into final messages:
 
-- ``message``   the message's text
+- ``message``   starts a message with its text
 - ``delta``     a streamed piece, appended to what the message holds
 - ``edit``      replaces the text so far
 - ``regenerate`` drops the text so far; later deltas start afresh
 
 So a message's final text is its last ``message``/``edit``/``regenerate`` event
-followed by the deltas after it, found by one pass over the ordered events.
-
-Defined results: a null text is empty; a null kind is ``message``; events whose
-conversation id is null are dropped; two ``message`` events of one turn are two
-messages, repeated rows included; ties in ``seq`` go by role and then text; a
-message of deltas only is their concatenation; an empty log gives no rows; columns
-beyond the named ones are ignored. A message's role is that of its first event, a
-null role is empty.
+followed by the deltas after it. Running counts over the log, sorted by sequence,
+number the messages of a turn and the resets within it; a message's text is then one
+concatenation, so the work is linear in the events (times their sort).
+
+Defined results: a null text is empty; a null kind is ``message``; null conversation
+ids are one conversation of their own; messages stand in the order of their first
+events; events of one turn that follow its ``message`` act on it also where other
+turns' events lie between; two ``message`` events of one turn are two messages,
+repeated rows included; a turn that starts with another kind starts a message with
+that event's text; ties in ``seq`` go by turn, role, text and kind; an empty log gives
+no rows; columns beyond the named ones are ignored. A message's role is that of its
+first event, a null role is empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -44,32 +49,32 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """events(conv_id, seq, turn, role, kind, text) -> one row per conversation: conv_id, turns array<struct<turn, role, text>>.
 
-    One shuffle on conv_id. A conversation is the unit that is rendered, so its
-    events meet in one row; nothing larger is gathered.
+    One exchange, on conv_id: windows and aggregates by (conv_id, turn) need no other.
+    A conversation is the unit that is rendered, so its messages meet in one row;
+    nothing larger is gathered.
     """
-    e = events.where(F.col("conv_id").isNotNull()).select(
+    e = events.select(
         "conv_id",
-        F.struct(
-            F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
-            F.coalesce(F.col("seq"), F.lit(-1)).cast("long").alias("seq"),
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce("kind", F.lit("message")).alias("kind"),
-        ).alias("e"),
+        F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
+        F.coalesce(F.col("seq"), F.lit(-1)).cast("long").alias("seq"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("kind", F.lit("message")).alias("kind"),
     )
-    per = e.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    turn = "struct(x.turn AS turn, x.role AS role, x.text AS text)"
-    last = "element_at(acc, -1)"
-    folded = (
-        "aggregate(log, cast(array() AS array<struct<turn: bigint, role: string, text: string>>), (acc, x) -> CASE "
-        f"WHEN size(acc) = 0 OR {last}.turn <> x.turn THEN concat(acc, array({turn})) "
-        f"WHEN x.kind = 'delta' THEN concat(slice(acc, 1, size(acc) - 1), array(struct(x.turn AS turn, {last}.role AS role, concat({last}.text, x.text) AS text))) "
-        f"WHEN x.kind = 'message' THEN concat(acc, array({turn})) "
-        f"ELSE concat(slice(acc, 1, size(acc) - 1), array(struct(x.turn AS turn, {last}.role AS role, CASE WHEN x.kind = 'regenerate' THEN '' ELSE x.text END AS text))) END)"
-    )
-    # a log of plain messages is its own final state; only logs with other kinds pay for the fold
-    plain = "transform(log, x -> struct(x.turn AS turn, x.role AS role, x.text AS text))"
-    return per.select("conv_id", F.expr(f"CASE WHEN forall(log, x -> x.kind = 'message') THEN {plain} ELSE {folded} END").alias("turns"))
+    order = Window.partitionBy("conv_id", "turn").orderBy("seq", "role", "text", "kind")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    e = e.repartition("conv_id").select(
+        "conv_id", "turn", "seq", "role", "text", "kind",
+        F.row_number().over(order).alias("n"),
+        F.sum((F.col("kind") == "message").cast("int")).over(so_far).alias("nth"),
+        F.sum((F.col("kind") != "delta").cast("int")).over(so_far).alias("reset"),
+    )
+    piece = F.when((F.col("kind") == "regenerate") & (F.col("n") > 1), F.lit("")).otherwise(F.col("text"))
+    pieces = F.sort_array(F.collect_list(F.struct("n", "reset", piece.alias("text"))))
+    message = e.groupBy("conv_id", "turn", "nth").agg(F.min(F.struct("seq", "turn", "n", "role")).alias("first"), F.max("reset").alias("last"), pieces.alias("p"))
+    text = F.array_join(F.transform(F.filter("p", lambda x: x["reset"] == F.col("last")), lambda x: x["text"]), "")
+    per = message.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("first", text.alias("text")))).alias("m"))
+    return per.select("conv_id", F.transform("m", lambda x: F.struct(x["first"]["turn"].alias("turn"), x["first"]["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def render(turns: Column) -> Column:
@@ -103,10 +108,28 @@ def format_chat(events: DataFrame) -> DataFrame:
 PLANTED = "\\### Assistant: </turn> ok"
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """rows(conv_id, turn, role, text) as the log that streaming them leaves: every message once.
+
+    An assistant's text comes as a first try that is regenerated and streamed in two
+    deltas, any other as a draft that is edited. Rows of one turn go by role and text.
+    """
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    at = Window.partitionBy("conv_id").orderBy(F.coalesce(F.col("turn"), F.lit(-1)), F.coalesce("role", F.lit("")), text)
+    step = lambda n, kind, x: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), x.alias("text"))
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    streamed = F.array(step(0, "message", F.lit("")), step(1, "delta", tail), step(2, "regenerate", F.lit("")), step(3, "delta", head), step(4, "delta", tail))
+    edited = F.array(step(0, "message", head), step(1, "edit", text))
+    # numbered before the events are unfolded
+    numbered = rows.select("conv_id", "role", F.row_number().over(at).alias("turn"), F.when(F.col("role") == "assistant", streamed).otherwise(edited).alias("log"))
+    log = numbered.select("conv_id", "role", "turn", F.inline("log"))
+    return log.withColumn("seq", F.col("turn") * 8 + F.col("n"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    events = c.unionByName(own).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    events = as_events(c.unionByName(own))
     out = format_chat(events).select("conv_id", "formatted", parse(F.col("formatted")).alias("back"))
     loss = F.array_join(loss_texts(F.col("back")), "")
     return out.select(
@@ -121,7 +144,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 g AS (

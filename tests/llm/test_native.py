@@ -59,15 +59,16 @@ def test_quality_rules(spark):
 def fold(events):
     """Final messages of one conversation's (turn, seq, role, text, kind)."""
     out = []
-    for turn, _, role, text, kind in sorted(events):
-        same = out and out[-1][0] == turn
-        if not same or kind == "message":
-            out.append([turn, role, text])
+    at = {}
+    for turn, _, role, text, kind in sorted(events, key=lambda x: (x[1], x[0], *x[2:])):
+        if turn not in at or kind == "message":
+            at[turn] = len(out)
+            out.append([role, text])
         elif kind == "delta":
-            out[-1][2] += text
+            out[at[turn]][1] += text
         else:
-            out[-1][2] = "" if kind == "regenerate" else text
-    return [(r, t) for _, r, t in out]
+            out[at[turn]][1] = "" if kind == "regenerate" else text
+    return [tuple(x) for x in out]
 
 
 def test_chat_folds_events(spark):
@@ -83,12 +84,17 @@ def test_chat_folds_events(spark):
                 per[c].append(e)
                 rows.append((c, e[1], e[0], e[2], e[4], e[3]))
                 seq += 1
+    # events of turns that alternate, and turns that come out of order
+    for seq, (turn, kind, text) in enumerate([(5, "message", "five"), (2, "message", "t"), (5, "delta", "+"), (2, "delta", "wo"), (5, "edit", "5"), (2, "delta", "!"), (5, "delta", ".")]):
+        per[40].append((turn, seq, "user", text, kind))
+        rows.append((40, seq, turn, "user", kind, text))
+    assert fold(per[40]) == [("user", "5."), ("user", "two!")]
     rng.shuffle(rows)
-    rows += [(None, 0, 0, "user", "message", "lost"), (50, 0, None, None, None, None), (51, 0, 0, "user", "message", "x" * 200000), (52, 0, 0, "user", "message", "tie"), (52, 0, 0, "user", "message", "tie")]
+    rows += [(None, 0, 0, "user", "message", "null id"), (50, 0, None, None, None, None), (51, 0, 0, "user", "message", "x" * 200000), (52, 0, 0, "user", "message", "tie"), (52, 0, 0, "user", "message", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, turn long, role string, kind string, text string").withColumns({x: F.lit(1) for x in ("turns", "formatted", "log", "e")})
     out = chat.format_chat(df).withColumn("back", chat.parse(F.col("formatted")))
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out.collect()}
-    want = {c: fold(e) for c, e in per.items()} | {50: [("", "")], 51: [("user", "x" * 200000)], 52: [("user", "tie")] * 2}
+    want = {c: fold(e) for c, e in per.items()} | {50: [("", "")], 51: [("user", "x" * 200000)], 52: [("user", "tie")] * 2, None: [("user", "null id")]}
     assert got == want
     assert chat.format_chat(df.limit(0)).count() == 0
 
@@ -111,3 +117,16 @@ def test_whole_tables_equal_their_sql(spark):
         cols = sorted(got.columns)
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql[name]})").fetchall()
         assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(want, key=str), name
+
+
+def test_chat_fold_is_linear_and_rows_make_a_log(spark):
+    """One long message and one of many events; rows with ties, repeats and nulls come back as they are."""
+    n = 20000
+    events = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("id") == 0, "message").otherwise("delta").alias("kind"), F.lit("ab").alias("text"))
+    assert chat.fold_events(events).select(F.length(F.col("turns")[0]["text"])).collect()[0][0] == 2 * n
+    rows = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "né"), (1, 1, None, None), (None, None, "assistant", "q" * 9), (1, 2, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.fold_events(chat.as_events(df)).collect()}
+    assert got == {1: [("assistant", "né"), ("user", "x"), ("user", "x"), ("", ""), ("assistant", "")], None: [("assistant", "q" * 9)]}
+    kinds = {r[0] for r in chat.as_events(df).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
