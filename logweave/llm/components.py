@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
+
+
+def _low(node: str, edges: DataFrame) -> DataFrame:
+    """Smallest neighbour of each node, with one more key than the aggregate: so a join deals both sides anew and Spark can split a hot node."""
+    return edges.groupBy(node).agg(F.min("b").alias("m")).withColumn("k", F.xxhash64(node))
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """edges(a, b) with a > b. Each step: minima by partial aggregation, then a join that AQE may split where a node is hot."""
     if small:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = _low("a", edges)
+        out = edges.withColumn("k", F.xxhash64("a")).join(low, ["a", "k"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
     else:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        low = _low("a", both).select(F.col("a").alias("u"), "k", F.least("a", "m").alias("m"))
+        out = edges.select(F.col("b").alias("u"), F.xxhash64("b").alias("k"), F.col("a").alias("v")).join(low, ["u", "k"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -25,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        e = keep(_star(keep(_star(e, False), "large-star"), True), "small-star")
+        large = keep(_star(e, False), "large-star")
+        small = keep(_star(large, True), "small-star")
+        discard(e, large)
+        e = small
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break

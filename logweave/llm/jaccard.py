@@ -2,31 +2,36 @@
 
 1. Each document becomes its set of word shingles; equal sets fold into one class.
 2. Similar sets form groups: sets that share a min-hash meet the smallest id of that
-   min-hash, and a verified link joins its group. A group counts as linked already.
-3. Token-group matrix: for each shingle of a signature the groups whose union holds
-   it. The signature of a set of n shingles is the n - ceil(t n) + k smallest hashes;
-   two sets over the threshold t share at least k' = k(ceil(t n)) of them. A shingle
-   in one group's union only links nothing, so a document whose signature meets other
-   groups in fewer than k' shingles is done: its overlap bound fails for every group.
-4. The rest get whole sets. A shingle that no other group holds cannot be shared, so
-   the r others bound the overlap with any group; two sets of n and m shingles need
-   t (n + m) / (1 + t). Documents whose bound fails go, twice over. In order of rising
-   document frequency one of the first r - ceil(t n) + 1 shingles must be shared: these
-   are looked up in the matrix, which also holds each group's sizes and largest r. Only
-   groups that pass both tests are opened, and their members of fitting size and bound
-   verified on whole texts.
-5. Links and classes give components.
-6. For the number of links, groups of three or more sets are cut into blocks of about
-   ``BLOCK`` shingles, and each two blocks of a group meet once: the overlaps of all
-   their sets are counted at once, so every two sets of a group are compared.
+   min-hash, and a verified link joins its group.
+3. Token-group matrix, on signatures: for each shingle of a signature the groups whose
+   union holds it. The signature of a set of n shingles is the n - ceil(t n) + k
+   smallest hashes; two sets over the threshold t share at least k' = k(ceil(t n)) of
+   them. A document whose signature meets other groups in fewer than k' shingles is
+   done: its overlap bound fails for every group.
+4. Token-group matrix, on whole sets of the rest: cells (shingle, group) are the token
+   unions. A shingle that no other group holds cannot be shared, so the r others bound
+   the overlap with any group; two sets of n and m shingles need t (n + m) / (1 + t).
+   Documents whose bound fails go, twice over. In order of rising document frequency
+   one of the first r - ceil(t n) + 1 shingles must be shared: these name the groups
+   whose overlap is worth counting. The overlap of a query with a group's token union
+   is then counted exactly, over all its shingles, and only groups whose count reaches
+   the bound of their smallest fitting set are opened.
+5. Groups that open each other make a family. A family's sets are cut into blocks of
+   about ``BLOCK`` shingles and each two blocks meet once: the overlaps of all their
+   sets are counted at once. That verifies, counts every link between different texts
+   and leaves one edge a set and block pair, which components take.
 
 Groups are counted, not their members, so thousands of near copies cost one entry a
-shingle. No table of the pairs of a group is made and nothing is capped or sampled.
-A document's links are the other documents at the threshold, with those of equal sets.
+shingle. No table of document pairs exists but that of sets and their group's smallest
+id; a set travels once per block of its family, with its hashes and not its text.
+Nothing is capped or sampled. Counting the links of a family takes work in the square
+of its blocks. A document's links are the other documents at the threshold, with those
+of equal sets. Building the plan runs jobs: intermediate tables are written on the way.
 
 Defined results: null and blank texts have an empty set and link with nothing; texts
 below the shingle width are one shingle; a null doc_id links with nothing and has a
-null component; rows that repeat a doc_id are one node; extra columns are ignored.
+null component; rows that repeat a doc_id are one node, and where their texts differ
+the one whose hash is smallest stands for it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ from .vec import chunks, mix, runs, word_arrays
 WIDTH, PERCENT = 3, 90
 SEEDS = np.array([0, 0x51ED270B35AC8F17, 0x2C8A19F4D3B7E605], np.uint64)
 CHUNK = 1 << 21
-BLOCK = 1 << 18
+BLOCK, BLOCK_SETS = 1 << 18, 1 << 11
 
 
 def shingle_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +94,7 @@ def _signatures(width: int, percent: int):
             for a, b in chunks(texts, CHUNK):
                 s, at = shingle_sets(texts[a:b], width)
                 n = np.diff(at)
-                out = pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(), "n": n})
+                out = pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(), "th": pdf["th"].iloc[a:b].to_numpy(), "n": n})
                 sums = []
                 for k in (0x9E6C63D0876A9A99, 0xC3A5C85C97CB3127):
                     c = np.zeros(len(s) + 1, np.uint64)
@@ -175,10 +180,24 @@ def overlaps(sets: list, others: list) -> np.ndarray:
     return out
 
 
-def _count_inside(percent: int):
+def roots(got: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows and columns the smallest id that they reach over the links of this matrix; their own where they have none."""
+    ra, rb = a.copy(), b.copy()
+    i, j = np.nonzero(got)
+    while True:
+        na, nb = ra.copy(), rb.copy()
+        np.minimum.at(na, i, rb[j])
+        np.minimum.at(nb, j, na[i])
+        if (na == ra).all() and (nb == rb).all():
+            return ra, rb
+        ra, rb = na, nb
+
+
+def _compare(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, i, j), cell in pdf.groupby(["g", "i", "j"], sort=False):
+        for _, cell in pdf.groupby("g", sort=False):
+            i, j = int(cell["i"].iloc[0]), int(cell["j"].iloc[0])
             a, b = (cell[cell["block"] == x] for x in (i, j))
             if not len(a) or not len(b) or (i == j and len(a) == 1):
                 continue
@@ -187,46 +206,62 @@ def _count_inside(percent: int):
             got = (both > 0) & (100 * both >= percent * (n + m - both))
             if i == j:
                 np.fill_diagonal(got, False)
-            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "links": got @ b["copies"].to_numpy(np.int64)}))
+            ia, ib = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+            ra, rb = roots(got, ia, ib)
+            out.append(pd.DataFrame({"id": ia, "links": got @ b["copies"].to_numpy(np.int64), "root": ra}))
             if i != j:
-                out.append(pd.DataFrame({"id": b["id"].to_numpy(), "links": got.T @ a["copies"].to_numpy(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+                out.append(pd.DataFrame({"id": ib, "links": got.T @ a["copies"].to_numpy(np.int64), "root": rb}))
+        out = pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("id", "links", "root")})
+        return out[out["links"] > 0]
 
     return run
 
 
-def inside(members: DataFrame, texts: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """members(id, n, g, copies) of groups -> id, links: documents of other sets of its group that it links with."""
-    per = members.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1").select("g", F.ceil(F.col("all") / BLOCK).alias("blocks"))
-    m = members.join(per, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    sets = m.join(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "id").mapInPandas(_whole_sets(width), "id long, g long, n long, copies long, blocks long, block long, hs array<long>")
+def compared(members: DataFrame, texts: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """members(id, th, n, g, copies) of families g -> id, links (documents of other sets it links with), root (a smaller id that it reaches, or itself); a row per set and block pair."""
+    size = members.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1")
+    size = size.select("g", F.xxhash64("g").alias("k"), F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("c") / BLOCK_SETS)).alias("blocks"))
+    m = members.withColumn("k", F.xxhash64("g")).join(size, ["g", "k"]).drop("k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sets = m.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(_whole_sets(width), "id long, n long, g long, copies long, blocks long, block long, hs array<long>")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("id", "g", "n", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "hs")
+    # families of one block share buckets; a larger one has a group for each two blocks
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("g", "i", "j"), F.lit(parts)))
-    return cells.groupBy("cell").applyInPandas(_count_inside(percent), "id long, links long")
+    return cells.groupBy("cell", "i", "j").applyInPandas(_compare(percent), "id long, links long, root long")
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    return texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id"), "th", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs(a, b) that link, by the whole texts (doc_id, text)."""
-    j = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return j.select("a", "b", "ta", "tb").mapInPandas(_verify(width, percent), "a long, b long")
+    """pairs(a, ta, b, tb: ids and text hashes) that link, by the whole texts."""
+    j = pairs
+    for x in "ab":
+        j = j.join(texts.select(F.col("doc_id").alias(x), F.col("th").alias(f"t{x}"), F.col("text").alias(f"text_{x}")).dropDuplicates([x, f"t{x}"]), [x, f"t{x}"])
+    return j.select("a", "b", F.col("text_a").alias("ta"), F.col("text_b").alias("tb")).mapInPandas(_verify(width, percent), "a long, b long")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """docs(doc_id, text) -> (classes: doc_id, n, rep; links between representatives: a, b, enough to connect each component; with count, rep and n_links)."""
-    sig = keep(docs.select("doc_id", "text").mapInPandas(_signatures(width, percent), "doc_id long, n long, s1 long, s2 long, low array<long>, sig array<long>"), "signatures")
+    """docs(doc_id, text) -> (classes: doc_id, n, rep; edges between representatives: a, b, enough to connect each component; with count, rep and n_links)."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    sig = keep(texts.mapInPandas(_signatures(width, percent), "doc_id long, th long, n long, s1 long, s2 long, low array<long>, sig array<long>"), "signatures")
+    texts = texts.where("doc_id IS NOT NULL")
     full = sig.where("n > 0 AND doc_id IS NOT NULL")
-    rep = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = keep(sig.select("doc_id", "n", "s1", "s2").join(rep, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
-    own = keep(full.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "low", "sig"), "representatives")
+    # joins with an aggregate take one more key than it: so both sides are dealt anew and Spark can split a hot key
+    rep = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("s1", "s2", F.xxhash64("s1").alias("k"), "r.doc_id", "r.th")
+    of = rep.select("s1", "s2", "k", F.col("doc_id").alias("rep"))
+    classes = sig.select("doc_id", "n", "s1", "s2", F.xxhash64("s1").alias("k")).join(of, ["s1", "s2", "k"], "left")
+    classes = keep(classes.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    one = rep.groupBy("doc_id").agg(F.min("th").alias("th"))
+    own = keep(full.join(one, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "th", "n", "low", "sig"), "representatives")
     discard(sig)
 
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    met = own.select("id", "n", F.posexplode("low").alias("i", "m"))
-    first = met.groupBy("i", "m").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("i", "m", "f")
-    pairs = met.join(first, ["i", "m"]).where((F.col("f.id") < F.col("id")) & fits(F.col("n"), F.col("f.n"))).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    pairs = keep(pairs, "star-pairs")
+    met = own.select("id", "th", "n", F.posexplode("low").alias("i", "m")).withColumn("k", F.xxhash64("m"))
+    first = met.groupBy("i", "m").agg(F.min(F.struct("id", "th", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("i", "m", F.xxhash64("m").alias("k"), "f")
+    pairs = met.join(first, ["i", "m", "k"]).where((F.col("f.id") < F.col("id")) & fits(F.col("n"), F.col("f.n")))
+    pairs = keep(pairs.select(F.col("f.id").alias("a"), F.col("f.th").alias("ta"), F.col("id").alias("b"), F.col("th").alias("tb")).distinct(), "star-pairs")
     star = keep(verified(pairs, texts, width, percent).distinct(), "star-links")
     discard(pairs)
 
@@ -236,45 +271,55 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bo
     shared = cell.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
     rest = cell.join(shared, "h", "left_semi").groupBy("id", "n", "g").agg(F.count("*").alias("f")).where(F.col("f") >= least)
-    rest = keep(rest.select("id", "n", "g"), "open-documents")
-    if count:
-        copies = classes.where("rep IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.countDistinct("doc_id").alias("copies"))
-        roster = keep(grouped.select("id", "n", "g").join(copies, "id"), "group-members")
-        within = keep(inside(roster, texts, width, percent, buckets(docs)), "inside-links")
+    roster = keep(grouped.select("id", "th", "n", "g"), "group-members")
+    rest = keep(rest.select("id", "n", "g").join(roster.select("id", "th"), "id"), "open-documents")
     discard(own)
 
     # whole sets of the rest; twice: what the first pass closes makes shingles of others unique to their group
-    j = rest.join(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "id")
-    sets = j.mapInPandas(_whole_sets(width), "id long, n long, g long, hs array<long>")
+    sets = rest.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(_whole_sets(width), "id long, n long, g long, hs array<long>")
     once = keep(_met_elsewhere(sets, percent), "met-0")
     sets = keep(_met_elsewhere(once, percent), "met-1")
     discard(rest, once)
-    probe = sets.select("id", "n", "g", F.size("hs").alias("r"), F.posexplode(F.slice("hs", F.lit(1), (F.size("hs") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "h")).withColumn("r", F.col("r") - F.col("pos"))
-    matrix = probe.groupBy("h", F.col("g").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("most"))
-    # r counts from the shingle on: at the first one that two sets share, it bounds what they share
-    # two sets of n and m over the threshold overlap in t (n + m) / (1 + t); neither can overlap more than it meets elsewhere
-    can = lambda r, n, m: (100 + percent) * r >= percent * (n + m)
-    near = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & can(F.least("r", "most"), F.col("n"), F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100)))
-    candidates = probe.join(matrix, (probe["h"] == matrix["h"]) & (F.col("g") < F.col("to")) & near).select("id", "n", "to").distinct()
-    members = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.size("hs").alias("s"), F.col("g").alias("to"))
-    own_bound = sets.select("id", F.size("hs").alias("w"))
-    opened = candidates.join(own_bound, "id").join(members, "to").where(fits(F.col("n"), F.col("m")) & can(F.least("w", "s"), F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
-    opened = keep(opened, "opened-pairs")
-    discard(sets)
-    cross = keep(verified(opened, texts, width, percent), "cross-links")
-    discard(opened)
-    found = star.unionByName(cross)
+    opened = keep(_opened(sets, percent), "opened-groups")
+    family = keep(components(opened), "families")
+    discard(opened, sets)
+
+    copies = classes.where("rep IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.countDistinct("doc_id").alias("copies"))
+    members = roster.join(family.withColumnRenamed("node", "g"), "g", "left")
+    if count:
+        members = members.join(copies, "id")
+    else:  # groups that opened no other are connected already
+        members = members.where("component IS NOT NULL").withColumn("copies", F.lit(1).cast("long"))
+    members = members.select("id", "th", "n", F.coalesce("component", "g").alias("g"), "copies")
+    within = keep(compared(members, texts, width, percent, buckets(docs)), "compared")
+    found = star.unionByName(within.where("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")))
     if not count:
+        discard(roster, family)
         return classes, found, None
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    group_of = roster.select(F.col("id").alias("a"), F.col("g").alias("ga"))
-    far = roster.select(F.col("id").alias("b"), F.col("g").alias("gb"), "copies")
-    between = both.join(group_of, "a").join(far, "b").where("ga <> gb").select(F.col("a").alias("id"), F.col("copies").alias("links"))
     # equal sets link too
-    each = roster.select("id", (F.col("copies") - 1).alias("links")).unionByName(within).unionByName(between)
+    each = copies.select("id", (F.col("copies") - 1).alias("links")).unionByName(within.select("id", "links"))
     return classes, found, each.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("n_links"))
 
 
+def _opened(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(id, n, g, hs: rarest first) -> a, b: groups that some query's overlap with the other's token union opens."""
+    # r counts from the shingle on: at the first one that two sets share, it bounds what they share
+    probe = sets.select("id", "n", "g", F.size("hs").alias("r"), F.posexplode(F.slice("hs", F.lit(1), (F.size("hs") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("pos", "h")).withColumn("r", F.col("r") - F.col("pos"))
+    matrix = probe.groupBy("h", F.col("g").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("most"))
+    # two sets of n and m over the threshold overlap in t (n + m) / (1 + t); neither can overlap more than it meets elsewhere
+    can = lambda r, n, m: (100 + percent) * r >= percent * (n + m)
+    smallest = lambda n, lo: F.greatest(lo, F.ceil(n * percent / 100))
+    near = lambda n, lo, hi: (100 * hi >= percent * n) & (100 * n >= percent * lo)
+    n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
+    named = probe.join(matrix, (probe["h"] == matrix["h"]) & (F.col("g") < F.col("to")) & near(n, lo, hi) & can(F.least("r", "most"), n, smallest(n, lo))).select("id", "to").distinct()
+    # the query's overlap with each named group's token union, over all its shingles
+    union = sets.select(F.col("g").alias("to"), F.explode("hs").alias("h")).distinct()
+    asked = named.join(sets, "id").select("id", "n", "g", "to", F.explode("hs").alias("h"))
+    overlap = asked.join(union, ["to", "h"]).groupBy("id", "n", "g", "to").agg(F.count("*").alias("r"))
+    spread = sets.groupBy(F.col("g").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return overlap.join(spread, "to").where(near(n, lo, hi) & can(F.col("r"), n, smallest(n, lo))).select(F.col("g").alias("a"), F.col("to").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, rep (class of equal sets), component_id and, with count, n_links; one row per row of docs."""
     classes, found, linked = links(docs, width, percent, count)
@@ -285,9 +330,17 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, co
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest doc_id stays."""
-    ids = jaccard_join(docs, width, percent).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """The documents without near duplicates: of each component the row with the smallest doc_id stays, one of equal rows.
+
+    Rows without a doc_id link with nothing and all stay. Of rows that repeat a doc_id
+    with different texts one stays.
+    """
+    found = keep(jaccard_join(docs, width, percent), "joined")
+    ids = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    kept = docs.join(ids.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
+    if not ids.where("_rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,31 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: c for x, c in root.items() if x in got} and {x for a, b in edges if a != b for x in (a, b)} == set(got)
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    t = "a b c d e f g h"
+    rows = [(1, t), (1, t), (2, t), (5, "k l m n o p q"), (5, "r s t u v w x"), (6, "k l m n o p q"), (6, None), (None, t), (None, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", jaccard.F.lit("clash"))
+    got = [tuple(r) for r in jaccard.jaccard_join(df, count=True).select("doc_id", "component_id", "n_links").collect()]
+    assert sorted(x for x in got if x[0] in (1, 2)) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
+    assert sum(x[0] is None and x[1] is None for x in got) == 2 and len(got) == len(rows)
+    kept = jaccard.keep_one(df, 3, 90)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) in ([0, 0, 1, 5], [0, 0, 1, 5, 6])
+
+
+def test_two_clusters_of_near_copies(spark):
+    """Two groups side by side: blocks meet, not pairs of documents; components and links are exact."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    base = [word() for _ in range(200)]
+    other = base[:186] + [word() for _ in range(14)]
+    docs = []
+    for k in range(160):
+        w = list(base if k % 2 else other)
+        w[rng.randrange(200)] = word()
+        docs.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df, 3, 90).collect()}
+    assert [got[i] for i in range(len(docs))] == brute(docs, 3, 90)
