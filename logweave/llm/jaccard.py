@@ -326,7 +326,9 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, co
     parts = components(found)
     joined = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.join(linked, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")) if count else out
+    if count:  # one more key than the aggregate: Spark can split the class of a hot text
+        out, linked = out.withColumn("k", F.xxhash64("rep")), linked.withColumn("k", F.xxhash64("rep"))
+    return out.join(linked, ["rep", "k"], "left").drop("k").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")) if count else out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -73,3 +73,33 @@ def test_alignment():
         p, t = rng.integers(0, 3, rng.integers(1, 12)), rng.integers(0, 3, rng.integers(1, 30))
         want, got = distance(p.tolist(), t.tolist()), D.align(p, t, 100)
         assert got[0] == want
+
+
+def test_short_items_and_runs(spark):
+    items = [(1, "short item"), (2, "Yes"), (3, "a"), (4, "-" * 30 + " a rule and a line of words that follows it closely"), (5, ""), (6, "yes")]
+    docs = ["this holds a Short  item here", "oh YES, no", "yesterday", "x" * 50, "==\n" + "-" * 4000 + "\n a rule\tand a line of   words that follows it closely", "-" * 20000, "", None, "é" * 30 + " yes"]
+    got = {(r, i) for r, i, *_ in D.find(D.Index(items), docs)}
+    assert got == {(0, 1), (0, 3), (1, 2), (1, 6), (4, 4), (4, 3), (8, 2), (8, 6)}
+    spans = {(r, i): docs[r][a:b] for r, i, a, b, _ in D.find(D.Index(items), docs)}
+    assert spans[0, 1] == "Short  item" and spans[1, 2] == "YES" and spans[8, 2] == "yes"
+
+
+def test_grams_with_many_places(spark, monkeypatch):
+    """A phrase that every item and one long text repeat: the same hits in small pieces."""
+    items, docs = material()
+    items = [(i, (t or "") + " again and again and again") for i, t in items]
+    docs = [t + " again and again" for t in docs[:40]] + ["again and " * 3000]
+    whole = D.find(D.Index(items), docs)
+    monkeypatch.setattr(D, "MEETINGS", 500)
+    assert D.find(D.Index(items), docs) == whole
+    assert {(r, i) for r, i, *_ in whole} == brute(items, docs)
+
+
+def test_slice_by_slice(spark):
+    items, docs = material()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("index", D.F.lit("clash"))
+    want = brute(items, docs)
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench, 300).collect()} == want
+    left = D.remove_contaminated(df, bench, 300)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {*range(len(docs))} - {r for r, _ in want}
