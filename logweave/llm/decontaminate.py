@@ -16,7 +16,7 @@ each Python worker indexes a slice once; a larger benchmark is handled slice by
 over all documents, each slice's result written before the next is read, so the driver
 holds one slice at a time. Documents are never collected, joined or shuffled to find
 hits. Meetings of a document's q-grams with the benchmark's are counted in pieces of
-``MEETINGS`` at most, whatever the number of places a q-gram has.
+about ``MEETINGS``, whatever the number of places a q-gram has.
 
 Defined results: null and empty texts and items have no hits; items below ``Q`` bytes
 match exactly and as whole words, those below Q + 4 exactly; several regions of one
@@ -36,7 +36,7 @@ from .common import keep, table
 from .vec import chunks
 
 Q, SEGMENT, STRIDE, EDITS = 8, 80, 40, 0.1
-SLICE, MEETINGS, RUN = 4 << 20, 1 << 22, 3
+SLICE, MEETINGS, RUN = 4 << 20, 1 << 20, 3
 CHUNK = 1 << 20
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -107,43 +107,40 @@ class Index:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.keys * _K) >> _U(64 - _BITS)] = True
 
-    def regions(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal of a double band) wherever the lemma's bound is met."""
-        none = np.zeros(0, np.int64)
+    def regions(self, buf: np.ndarray, at: int = 0):
+        """(segments, first diagonals of a double band) wherever the lemma's bound is met, in pieces.
+
+        A buffer with too many meetings is halved, with an overlap that holds a whole
+        region, so memory follows the index and not the places that q-grams share.
+        """
         g = grams(buf)
-        at = np.flatnonzero(self.bits[(g * _K) >> _U(64 - _BITS)])
-        if not len(self.keys) or not len(at):
-            return none, none
-        i = np.searchsorted(self.keys, g[at])
+        pos = np.flatnonzero(self.bits[(g * _K) >> _U(64 - _BITS)])
+        if not len(self.keys) or not len(pos):
+            return
+        i = np.searchsorted(self.keys, g[pos])
         i[i == len(self.keys)] = 0
-        ok = self.keys[i] == g[at]
-        at, i = at[ok], i[ok]
-        if not len(at):
-            return none, none
+        ok = self.keys[i] == g[pos]
+        pos, i = pos[ok], i[ok]
+        n, both = self.count[i], SEGMENT + 4 * self.width
+        if n.sum() > MEETINGS and len(buf) > 8 * both:
+            mid = len(buf) // 2
+            start = (mid - both) // self.width * self.width  # so bands stay where they are
+            yield from self.regions(buf[: mid + both], at)
+            yield from self.regions(buf[start:], at + start)
+            return
+        if not len(pos):
+            return
         bands = (len(buf) + SEGMENT) // self.width + 2
-        # every meeting of places counts; a q-gram with many places only makes more pieces
-        met = np.cumsum(self.count[i])
-        found, x = [], 0
-        while x < len(at):
-            base = met[x - 1] if x else 0
-            y = max(x + 1, int(np.searchsorted(met, base + MEETINGS, side="right")))
-            n = self.count[i[x:y]]
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[i[x:y]], n)
-            diagonal = np.repeat(at[x:y], n) - self.pos[j] + SEGMENT  # never below 0
-            found.append(np.unique(self.seg[j].astype(np.int64) * bands + diagonal // self.width, return_counts=True))
-            x = y
-        if len(found) == 1:
-            key, c = found[0]
-        else:
-            key, inv = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            c = np.bincount(inv, np.concatenate([c for _, c in found])).astype(np.int64)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[i], n)
+        diagonal = np.repeat(pos, n) - self.pos[j] + SEGMENT  # never below 0
+        key, c = np.unique(self.seg[j].astype(np.int64) * bands + diagonal // self.width, return_counts=True)
         nxt = np.zeros(len(c), np.int64)
         follow = np.flatnonzero(key[1:] == key[:-1] + 1)
         nxt[follow] = c[follow + 1]
         seg = key // bands
         # a band alone also stands for the pair that ends with it
         hit = c + nxt >= self.least[seg]
-        return seg[hit], (key[hit] % bands) * self.width - SEGMENT
+        yield seg[hit], (key[hit] % bands) * self.width - SEGMENT + at
 
     def words(self, buf: np.ndarray):
         """(item, start, end) of each short item that stands in a text as a whole word."""
@@ -193,18 +190,23 @@ def distances(index: Index, seg: np.ndarray, buf: np.ndarray, low: np.ndarray) -
     p = np.full((len(m), most), 0xFFFF, np.uint16)
     for i, x in enumerate(seg.tolist()):
         p[i, : len(index.text[x])] = index.text[x]
-    col, at = np.arange(band, dtype=np.int16), low - e
-    d, out = np.zeros((len(m), band), np.int16), np.zeros(len(m), np.int64)
-    cols = at[:, None] + np.arange(band)[None, :]
+    col, live = np.arange(band, dtype=np.int16), np.arange(len(m))
+    d, out = np.zeros((len(m), band), np.int16), np.full(len(m), 30000, np.int64)
+    cols = (low - e)[:, None] + np.arange(band)[None, :]
     for i in range(most):
-        new = d + (np.take(buf, cols + i, mode="clip") != p[:, i : i + 1])
+        new = d + (np.take(buf, cols + i, mode="clip") != p[live, i : i + 1])
         np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])
         new -= col
         np.minimum.accumulate(new, axis=1, out=new)  # a run of insertions costs its length
         new += col
         d = new.astype(np.int16)
-        if (done := m == i + 1).any():
-            out[done] = d[done].min(1)
+        if (done := m[live] == i + 1).any():
+            out[live[done]] = d[done].min(1)
+        if i % 8 == 7:  # what is over its budget stays over it
+            left = (m[live] > i + 1) & (d.min(1) <= index.edits[seg[live]])
+            live, d, cols = live[left], d[left], cols[left]
+            if not len(live):
+                break
     return out
 
 
@@ -217,7 +219,6 @@ def find(index: Index, texts: list) -> list[tuple[int, int, int, int, int]]:
     buf = np.zeros(int(at[-1]) + gap, np.uint8)
     for a, (x, _) in zip(at.tolist(), seen):
         buf[a : a + len(x)] = x
-    seg, low = index.regions(buf)
     inside = np.zeros(len(buf), bool)
     for a, (x, _) in zip(at.tolist(), seen):
         inside[a : a + len(x)] = True
@@ -228,18 +229,19 @@ def find(index: Index, texts: list) -> list[tuple[int, int, int, int, int]]:
         o = out.get((r, item))
         out[r, item] = [a, b, e] if o is None else [min(o[0], a), max(o[1], b), min(o[2], e)]
 
-    order = np.lexsort((low, seg, index.size[seg])) if len(seg) else seg
-    for i in range(0, len(order), 2048):
-        part = order[i : i + 2048]
-        best = distances(index, seg[part], marked, low[part])
-        for k in np.flatnonzero(best <= index.edits[seg[part]]).tolist():
-            x, y = int(seg[part[k]]), int(low[part[k]])
-            m, e, w = int(index.size[x]), int(index.edits[x]), index.width
-            r = min(max(int(np.searchsorted(at, y + w + m // 2, side="right")) - 1, 0), len(raw) - 1)
-            lo, hi = max(int(at[r]), y - w), min(int(at[r]) + len(seen[r][0]), y + 3 * w + m + 1)
-            got = align(index.text[x], buf[lo:hi], e) if hi > lo else None
-            if got:
-                add(r, int(index.item[x]), lo + got[1] - int(at[r]), lo + got[2] - int(at[r]), got[0])
+    for seg, low in index.regions(buf):
+        order = np.lexsort((low, seg, index.size[seg]))
+        for i in range(0, len(order), 2048):
+            part = order[i : i + 2048]
+            best = distances(index, seg[part], marked, low[part])
+            for k in np.flatnonzero(best <= index.edits[seg[part]]).tolist():
+                x, y = int(seg[part[k]]), int(low[part[k]])
+                m, e, w = int(index.size[x]), int(index.edits[x]), index.width
+                r = min(max(int(np.searchsorted(at, y + w + m // 2, side="right")) - 1, 0), len(raw) - 1)
+                lo, hi = max(int(at[r]), y - w), min(int(at[r]) + len(seen[r][0]), y + 3 * w + m + 1)
+                got = align(index.text[x], buf[lo:hi], e) if hi > lo else None
+                if got:
+                    add(r, int(index.item[x]), lo + got[1] - int(at[r]), lo + got[2] - int(at[r]), got[0])
     if index.short:
         for r, (x, _) in enumerate(seen):
             for item, a, b in index.words(x):
