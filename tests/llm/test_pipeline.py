@@ -27,3 +27,18 @@ def test_stages(spark, tmp_path):
     final = P.run(spark, str(tmp_path))
     assert sorted(final.collect(), key=str) == sorted(d.collect(), key=str)
     assert final.where("doc_id IN (43, 44)").agg({"n_tokens": "sum"}).first()[0] == 0
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, columns with the operators' own names, no labels, no rows."""
+    t = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, t, 0.5, "x"), (1, t, 0.5, "x"), (2, None, None, None), (3, "", 1.0, "y"), (None, t, 2.0, "z"), (None, t, 2.0, "z"), (4, "mail a@b.example.org now", 3.0, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, spans string")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs, want in ((df, [1, 2, 3, 4, None, None]), (df.limit(0), [])):
+        for i, (_, stage) in enumerate(P.STAGES):
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == (df.columns if i < 4 else ["doc_id", "score", "spans", "n_tokens", "ids"])
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert sorted((r["doc_id"] for r in docs.collect()), key=lambda x: (x is None, x)) == want
