@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, table
 from .vec import chunks
 
 MAX_CACHE = 1 << 18
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", offsets: bool = Tru
     extra = [T.StructField("ids", T.BinaryType())] + ([T.StructField("offsets", T.BinaryType())] if offsets else [])
     names = {"ids", "offsets"}
     docs = docs.drop(*(x for x in docs.columns if x in names))
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInPandas(released(run), T.StructType([*docs.schema.fields, *extra]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -282,7 +282,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             pdf["decoded"] = [c.decode(x, y) for x, y in zip(pdf["ids"], o, strict=True)]
             yield pdf
 
-    return encoded.mapInPandas(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInPandas(released(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def encode_decode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -301,7 +301,7 @@ def encode_decode(docs: DataFrame, path: str, column: str = "text") -> DataFrame
             yield pdf
 
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInPandas(released(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def default_vocabulary() -> str:

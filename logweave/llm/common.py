@@ -7,10 +7,12 @@ executor costs a re-run of its tasks and nothing else.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(run):
+    """``run`` for mapInPandas; a worker process that stays for later tasks gives what it has freed back to the system after each."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, released, table
 from .vec import chunks
 
 Q, SEGMENT, STRIDE, EDITS = 8, 80, 40, 0.1
@@ -296,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE) -> D
         if last is not None:
             last = keep(last, "hits")
             out = last if out is None else out.unionByName(last)
-        last = d.mapInPandas(_search(items), "doc_id long, item_id long, start long, end long, edits long")
+        last = d.mapInPandas(released(_search(items)), "doc_id long, item_id long, start long, end long, edits long")
     return last if out is None else out.unionByName(last)
 
 
@@ -313,7 +313,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = SLIC
                     ok[[a + r for r, *_ in find(index, texts[a:b])]] = False
                 yield pdf[ok]
 
-        out = (docs if out is None else keep(out, "clean")).mapInPandas(run, schema)
+        out = (docs if out is None else keep(out, "clean")).mapInPandas(released(run), schema)
     return out
 
 

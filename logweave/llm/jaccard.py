@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, discard, keep, table
+from .common import buckets, discard, keep, released, table
 from .components import components
 from .vec import chunks, mix, runs, word_arrays
 
@@ -222,7 +222,7 @@ def compared(members: DataFrame, texts: DataFrame, width: int, percent: int, par
     size = members.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1")
     size = size.select("g", F.xxhash64("g").alias("k"), F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("c") / BLOCK_SETS)).alias("blocks"))
     m = members.withColumn("k", F.xxhash64("g")).join(size, ["g", "k"]).drop("k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    sets = m.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(_whole_sets(width), "id long, n long, g long, copies long, blocks long, block long, hs array<long>")
+    sets = m.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(released(_whole_sets(width)), "id long, n long, g long, copies long, blocks long, block long, hs array<long>")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("id", "g", "n", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "hs")
     # families of one block share buckets; a larger one has a group for each two blocks
@@ -239,13 +239,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     j = pairs
     for x in "ab":
         j = j.join(texts.select(F.col("doc_id").alias(x), F.col("th").alias(f"t{x}"), F.col("text").alias(f"text_{x}")).dropDuplicates([x, f"t{x}"]), [x, f"t{x}"])
-    return j.select("a", "b", F.col("text_a").alias("ta"), F.col("text_b").alias("tb")).mapInPandas(_verify(width, percent), "a long, b long")
+    return j.select("a", "b", F.col("text_a").alias("ta"), F.col("text_b").alias("tb")).mapInPandas(released(_verify(width, percent)), "a long, b long")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """docs(doc_id, text) -> (classes: doc_id, n, rep; edges between representatives: a, b, enough to connect each component; with count, rep and n_links)."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    sig = keep(texts.mapInPandas(_signatures(width, percent), "doc_id long, th long, n long, s1 long, s2 long, low array<long>, sig array<long>"), "signatures")
+    sig = keep(texts.mapInPandas(released(_signatures(width, percent)), "doc_id long, th long, n long, s1 long, s2 long, low array<long>, sig array<long>"), "signatures")
     texts = texts.where("doc_id IS NOT NULL")
     full = sig.where("n > 0 AND doc_id IS NOT NULL")
     # joins with an aggregate take one more key than it: so both sides are dealt anew and Spark can split a hot key
@@ -276,7 +276,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count: bo
     discard(own)
 
     # whole sets of the rest; twice: what the first pass closes makes shingles of others unique to their group
-    sets = rest.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(_whole_sets(width), "id long, n long, g long, hs array<long>")
+    sets = rest.join(_named(texts), ["id", "th"]).drop("th").mapInPandas(released(_whole_sets(width)), "id long, n long, g long, hs array<long>")
     once = keep(_met_elsewhere(sets, percent), "met-0")
     sets = keep(_met_elsewhere(once, percent), "met-1")
     discard(rest, once)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -233,7 +233,7 @@ def find_pii(docs: DataFrame, column: str = "text") -> DataFrame:
             yield pdf
 
     fields = [T.StructField(x, T.LongType()) for x in names[:-2]] + [T.StructField(x, T.StringType()) for x in names[-2:]]
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInPandas(released(run), T.StructType([*docs.schema.fields, *fields]))
 
 
 def mask(text: str | None, spans: str) -> str | None:
@@ -258,7 +258,7 @@ def mask_pii(docs: DataFrame, column: str = "text") -> DataFrame:
             pdf[column] = [mask(t, _render({k: b[k] + a[k] for k in KINDS})) for t in pdf[column] for b, a in [find(t)]]
             yield pdf
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(released(run), docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, table
 from .katz import held
 from .labelled import sample
 from .vec import _LOWER, chunks, mix, powers
 
-SAMPLE = 5000
+SAMPLE = 10000
 MIN_DOCS, MIN_SHARE, MIN_WEAK = 5, 0.85, 30
 STEPS, RATE = 25, 0.3
+GROUP = 1 << 18
 THRESHOLD = 0.7
 _APART = np.ones(256, bool)
 _APART[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -147,66 +148,90 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25)
     return w
 
 
+class _packed_group:
+    """Feature places, labels and neighbours of the packed words of some documents."""
+
+    def __init__(self, texts: list, y: np.ndarray, keys: np.ndarray, sure: np.ndarray):
+        f, first, *_ = letter_words(texts)
+        order, self.off, _ = packed(first)
+        at = np.full(f.shape, len(keys), np.int32)
+        for i, x in enumerate(f):
+            j = np.searchsorted(keys, x)
+            j[j == len(keys)] = 0
+            if len(keys):
+                at[i] = np.where(keys[j] == x, j, len(keys))
+        label = sure[at].any(0) & (np.repeat(y, np.diff(first)) > 0)
+        self.at, self.label, o = at[:, order], label[order], self.off
+        self.lead = int(o[1]) if len(o) > 1 else 0
+        # the word that follows packed word i of position t is the one in the same column at t + 1
+        self.nxt = np.arange(self.lead, len(order), dtype=np.int32)
+        self.prev = np.concatenate([np.arange(o[i], o[i] + o[i + 2] - o[i + 1], dtype=np.int32) for i in range(len(o) - 2)]) if len(o) > 2 else np.zeros(0, np.int32)
+        self.seen = np.array([[np.sum((self.label[self.prev] == a) & (self.label[self.nxt] == b)) for b in (False, True)] for a in (False, True)], float)
+
+
 def fit(texts: list, y: np.ndarray) -> Crf:
     """Fit on labelled texts: a bounded sample, held in one process."""
     y = np.asarray(y, float)
     prior = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return Crf(np.zeros(0, np.uint64), np.zeros(0), -5.0, np.zeros((2, 2)), -5.0, None, prior)
-    parts = [letter_words(texts[a:b])[:2] for a, b in chunks(texts)]
-    f = np.concatenate([x for x, _ in parts], 1)
-    first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for _, x in parts])))
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    stats = []
-    for x in f:  # documents and toxic documents that hold each feature
-        o = np.lexsort((doc, x))
-        k, d = x[o], doc[o]
-        new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, bool)
-        keys, inv = np.unique(k[new], return_inverse=True)
-        stats.append((keys, np.bincount(inv, minlength=len(keys)), np.bincount(inv, y[d[new]], len(keys))))
-    keys, docs, toxic = (np.concatenate([s[i] for s in stats]) for i in range(3))
+    sizes, stats = [], [[] for _ in range(3)]
+    for a, b in chunks(texts):  # documents and toxic documents that hold each feature
+        f, first, *_ = letter_words(texts[a:b])
+        sizes.append(np.diff(first))
+        doc = np.repeat(np.arange(a, b), sizes[-1])
+        for own, x in zip(stats, f):
+            o = np.lexsort((doc, x))
+            k, d = x[o], doc[o]
+            new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, bool)
+            keys, inv = np.unique(k[new], return_inverse=True)
+            own.append((keys, np.bincount(inv, minlength=len(keys)), np.bincount(inv, y[d[new]], len(keys))))
+    merged = []
+    for own in stats:
+        keys, inv = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+        merged.append((keys, *(np.bincount(inv, np.concatenate([x[i] for x in own]), len(keys)) for i in (1, 2))))
+    keys, docs, toxic = (np.concatenate([x[i] for x in merged]) for i in range(3))
+    del stats, merged
     used = docs >= MIN_DOCS
     keys, docs, toxic = keys[used], docs[used], toxic[used]
     share = (toxic + prior) / (docs + 1)
     chosen = (share >= MIN_SHARE) | (docs >= MIN_WEAK) & (np.abs(np.log((share + 0.02) / (prior + 0.02))) > 0.7)
     o = np.argsort(keys[chosen])
-    keys, sure = keys[chosen][o], (share >= MIN_SHARE)[chosen][o]
-    at = np.full(f.shape, len(keys), np.int32)
-    for i, x in enumerate(f):
-        j = np.searchsorted(keys, x)
-        j[j == len(keys)] = 0
-        if len(keys):
-            at[i] = np.where(keys[j] == x, j, len(keys))
-    label = (np.append(sure, False)[at].any(0) & (y[doc] > 0)).astype(float)
-    del f, doc
-    order, off, _ = packed(first)
-    at, label, lead = at[:, order], label[order], int(off[1]) if len(off) > 1 else 0
+    keys, sure = keys[chosen][o], np.append((share >= MIN_SHARE)[chosen][o], False)
+    # documents of like length together, the longest first, so that a step works on few words at a time and memory stays low
+    sizes = np.concatenate(sizes)
+    rank = np.argsort(-sizes, kind="stable")
+    total = np.cumsum(sizes[rank])
+    groups = [_packed_group([texts[i] for i in part], y[part], keys, sure) for part in np.split(rank, np.flatnonzero(np.diff(total // GROUP)) + 1) if len(part)]
     w, bias, trans, start = np.zeros(len(keys) + 1), -3.0, np.zeros((2, 2)), -3.0
     states = [[0, 0, 0] for _ in range(4)]
-    # the word that follows packed word i of position t is the one in the same column at t + 1
-    nxt = np.concatenate([np.arange(off[i + 1], off[i + 2]) for i in range(len(off) - 2)]) if len(off) > 2 else np.zeros(0, int)
-    prev = np.concatenate([off[i] + np.arange(off[i + 2] - off[i + 1]) for i in range(len(off) - 2)]) if len(off) > 2 else np.zeros(0, int)
-    seen = np.array([[np.sum((label[prev] == a) & (label[nxt] == b)) for b in (0, 1)] for a in (0, 1)], float)
-    scale = max(1.0, label.sum())
+    seen = sum(g.seen for g in groups)
+    scale = max(1.0, sum(float(g.label.sum()) for g in groups))
     for _ in range(STEPS):
-        e = np.exp(np.clip(bias + w[at].sum(0), -30, 30))
-        tr = np.exp(trans)
-        r, b = messages(e, off, tr, np.exp(start))
-        p = r * b / (1 + r * b)
-        v, u = r[prev], e[nxt] * b[nxt]
-        z = tr[0, 0] + tr[1, 0] * v + tr[0, 1] * u + tr[1, 1] * v * u
-        want = np.array([[np.sum(tr[0, 0] / z), np.sum(tr[0, 1] * u / z)], [np.sum(tr[1, 0] * v / z), np.sum(tr[1, 1] * v * u / z)]])
-        g = label - p
-        gw = sum(np.bincount(x, g, len(w)) for x in at)
+        gw, gb, gs, want, tr = np.zeros(len(w)), 0.0, 0.0, np.zeros((2, 2)), np.exp(trans)
+        for x in groups:
+            e = np.full(len(x.label), bias)
+            for i in x.at:
+                e += w[i]
+            e = np.exp(np.clip(e, -30, 30))
+            r, b = messages(e, x.off, tr, np.exp(start))
+            v, u = r[x.prev], (e * b)[x.nxt]
+            z = tr[0, 0] + tr[1, 0] * v + tr[0, 1] * u + tr[1, 1] * v * u
+            want += [[np.sum(tr[0, 0] / z), np.sum(tr[0, 1] * u / z)], [np.sum(tr[1, 0] * v / z), np.sum(tr[1, 1] * v * u / z)]]
+            r *= b
+            g = x.label - r / (1 + r)
+            for i in x.at:
+                gw += np.bincount(i, g, len(w))
+            gb, gs = gb + g.sum(), gs + g[: x.lead].sum()
         gw[-1] = 0
         w = _adam(w, gw / scale - 1e-4 * w, states[0], RATE)
-        bias = float(_adam(bias, g.sum() / scale, states[1], RATE))
+        bias = float(_adam(bias, gb / scale, states[1], RATE))
         trans = _adam(trans, (seen - want) / scale - 1e-3 * trans, states[2], RATE / 3)
-        start = float(_adam(start, g[:lead].sum() / scale, states[3], RATE))
+        start = float(_adam(start, gs / scale, states[3], RATE))
     w = np.clip(w, -20, 20)
     keep = w[:-1] != 0
     model = Crf(keys[keep], w[:-1][keep], bias, trans, start, None, prior)
-    del at, label
+    del groups
     model.curve = logistic(np.concatenate([summary(*model.marginals(texts[a:b])[:2]) for a, b in chunks(texts)]), y)
     return model
 
@@ -221,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, limit: int = SAMPLE) -> C
             y += pdf["y"].tolist()
         yield pd.DataFrame({"model": [pickle.dumps(fit(texts, np.array(y)))]})
 
-    got = sample(docs, labels, "toxic", allowed, limit).repartition(1).mapInPandas(run, "model binary").collect()
+    got = sample(docs, labels, "toxic", allowed, limit).repartition(1).mapInPandas(released(run), "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else fit([], np.zeros(0))
 
 
@@ -249,7 +274,7 @@ def score(docs: DataFrame, model: Crf, column: str = "text", least: float = 0.5)
             pdf["score"], pdf["spans"] = np.concatenate(scores) if scores else np.zeros(0), spans
             yield pdf
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", span)]))
+    return docs.mapInPandas(released(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", span)]))
 
 
 def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
