@@ -22,9 +22,12 @@ def total_budget(memory_bytes: int, ratio: float = 0.5) -> int:
     return int(memory_bytes * ratio)
 
 
-def queue_sizes(queued: DataFrame) -> DataFrame:
-    """queued(topic, part, subpartition, weight) -> size per queue."""
-    return queued.groupBy(*SUB).agg(F.sum("weight").alias("size"))
+def queue_sizes(queued: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """queued(topic, part, subpartition, weight) -> size per queue; with registered(topic, part, subpartition) empty queues too."""
+    sizes = queued.groupBy(*SUB).agg(F.sum("weight").alias("size"))
+    if registered is None:
+        return sizes
+    return registered.select(*SUB).join(sizes, list(SUB), "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
 
 
 def queue_growth(queued: DataFrame) -> DataFrame:
@@ -36,7 +39,8 @@ def queue_growth(queued: DataFrame) -> DataFrame:
 def pause_resume(sizes: DataFrame, total_bytes: int, resume_ratio: float = 0.9) -> DataFrame:
     """Per topic partition: pause (a queue at its limit, or all queues at the budget) and resume (budget free and every queue at its resume limit or below).
 
-    The total and the number of queues are one row, joined once; sizes have one row a queue.
+    The budget is shared among all registered queues, so ``sizes`` has a row for the empty
+    ones too. The total and the number of queues are one row, joined once.
     """
     t = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.greatest(F.lit(1), F.count("*")).alias("n"))
     per = sizes.groupBy(*TP).agg(F.max("size").alias("largest"))
@@ -46,9 +50,13 @@ def pause_resume(sizes: DataFrame, total_bytes: int, resume_ratio: float = 0.9)
 
 
 def fold_paused(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Hysteresis: a paused partition stays so until it may resume. before(topic, part, paused), now from pause_resume."""
-    j = now.join(before, list(TP), "left")
-    return j.select(*TP, F.when(F.coalesce("paused", F.lit(False)), ~F.col("resume")).otherwise(F.col("pause")).alias("paused"))
+    """Hysteresis: a paused partition stays so until it may resume. before(topic, part, paused) has all assigned partitions, now comes from pause_resume.
+
+    A partition without a row in ``now`` has no queue that holds it back, so it resumes.
+    """
+    j = before.select(*TP, "paused").join(now.select(*TP, "pause", "resume"), list(TP), "full")
+    resume, pause = F.coalesce("resume", F.lit(True)), F.coalesce("pause", F.lit(False))
+    return j.select(*TP, F.when(F.coalesce("paused", F.lit(False)), ~resume).otherwise(pause).alias("paused"))
 
 
 def accepted_prefix(log: DataFrame, accept: Column, keys=SUB) -> DataFrame:

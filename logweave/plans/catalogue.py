@@ -8,12 +8,11 @@ from ..operators import flow, offsets, partitioning as P, ranges as R, weigher a
 from ..sources.records import events_log, serialized_size
 from ..streaming.config import TRANSITIONS, terminal
 
-BUDGET = 400_000
 NOW, TIMEOUT = "2024-06-01 00:00:00", "30 DAYS"
 
 LEDGER = """SELECT topic, part, off, ts, key, value, ok FROM (
   SELECT event_type AS topic, (user_id % 4)::INT AS part, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) - 1 AS off, event_id, ts,
-    user_id::VARCHAR AS key, props AS value, event_id % 7 <> 0 AS ok FROM events) WHERE event_id % 10 <> 3"""
+    user_id::VARCHAR AS key, props AS value, event_id % 7 <> 0 AS ok FROM events)"""
 RANGES = "SELECT topic, part, min(off) AS lower, max(off) AS upper FROM (SELECT topic, part, off, off - row_number() OVER (PARTITION BY topic, part ORDER BY off) AS g FROM {src}) GROUP BY topic, part, g"
 COMMIT = "SELECT topic, part, max(off) + 1 AS commit_offset FROM (SELECT topic, part, off, min(ok::INT) OVER (PARTITION BY topic, part ORDER BY off) AS m FROM ledger) WHERE m = 1 GROUP BY topic, part"
 SUB = "(row_number() OVER (PARTITION BY topic, part ORDER BY off) - 1) % 3"
@@ -40,15 +39,21 @@ def weighed(s, d):
     return x.withColumn("weight", W.record(W.string(F.col("key")), W.string(F.col("value")), F.col("topic")))
 
 
-def _pause_resume_whole(s, d):
-    """Every record, under a budget a fiftieth above the whole table's size, so that some queues are over their part at any size."""
-    sizes = flow.queue_sizes(weighed(s, d))
+def registered(s, d):
+    """The sub-partitions of every partition, and those of one that has no records: their queues are empty."""
+    idle = s.range(1).select(F.lit("idle").alias("topic"), F.col("id").cast("int").alias("part"))
+    return P.enumerate_subpartitions(partitions(s, d).unionByName(idle), P.Partitioner(3))
+
+
+def _pause_resume(s, d):
+    """Every record, under a budget a tenth above the whole table's size, so that some queues are over their part at any size."""
+    sizes = flow.queue_sizes(weighed(s, d), registered(s, d))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return flow.pause_resume(sizes, int(total) * 51 // 50)
+    return flow.pause_resume(sizes, int(total) * 11 // 10)
 
 
 def points(s, d):
-    return ledger(s, d).where("off % 5 = 0").select("topic", "part", F.col("off").alias("x"))
+    return ledger(s, d).select("topic", "part", F.col("off").alias("x"))
 
 
 def partitions(s, d):
@@ -65,15 +70,15 @@ def _snapshots(s, d):
 
 
 def _query_ranges(s, d):
-    return ledger(s, d).where("off % 11 = 0").select("topic", "part", F.col("off").alias("lower"), (F.col("off") + 3).alias("upper"))
+    return ledger(s, d).select("topic", "part", F.col("off").alias("lower"), (F.col("off") + 3).alias("upper"))
 
 
 WEIGHT = "(160 + 32 + 8*ceil((16+length(key))/8.0) + 32 + 8*ceil((16+length(value))/8.0) + 32 + 8*ceil((16+length(topic))/8.0) + 40)::BIGINT"
 CTE = {"r": RANGES.format(src="(SELECT * FROM ledger WHERE ok)"), "c": RANGES.format(src="ledger")}
-PTS = "SELECT topic, part, off AS x FROM ledger WHERE off % 5 = 0"
+PTS = "SELECT topic, part, off AS x FROM ledger"
 SUBS = f"SELECT *, {SUB} AS subpartition, {WEIGHT} AS weight FROM ledger"
 SIZES = "SELECT topic, part, subpartition, sum(weight)::BIGINT AS size FROM subs GROUP BY ALL"
-QR = "SELECT topic, part, off AS lower, off + 3 AS upper FROM ledger WHERE off % 11 = 0"
+QR = "SELECT topic, part, off AS lower, off + 3 AS upper FROM ledger"
 MURMUR = """SELECT topic, part, off, ((xor(h3, h3 >> 15) & 2147483647) % 5)::INT AS subpartition FROM (SELECT *, (xor(h2, h2 >> 13) * 1540483477) & 4294967295 AS h3 FROM (
  SELECT *, CASE WHEN n % 4 = 0 THEN h1 ELSE (xor(h1, list_sum(list_transform(range(0, n % 4), lambda j: b[(n // 4) * 4 + j + 1] << (8 * j)::INT))::BIGINT) * 1540483477) & 4294967295 END AS h2 FROM (
  SELECT *, list_reduce(list_prepend(xor(2538058380::BIGINT, n), list_transform(range(0, n // 4), lambda i: b[i*4+1] + (b[i*4+2] << 8) + (b[i*4+3] << 16) + (b[i*4+4] << 24))),
@@ -111,8 +116,7 @@ _ALL = {
     "record_weight": (lambda s, d: weighed(s, d).select("topic", "part", "off", "weight"), sql("SELECT topic, part, off, weight FROM subs", subs=SUBS)),
     "queue_growth": (lambda s, d: flow.queue_growth(weighed(s, d)).select("topic", "part", "off", "size"), sql("SELECT topic, part, off, (sum(weight) OVER (PARTITION BY topic, part, subpartition ORDER BY off))::BIGINT AS size FROM subs", subs=SUBS)),
     "queue_sizes": (lambda s, d: flow.queue_sizes(weighed(s, d)), sql("SELECT topic, part, subpartition::INT AS subpartition, size FROM sz", subs=SUBS, sz=SIZES)),
-    "pause_resume": (lambda s, d: flow.pause_resume(flow.queue_sizes(weighed(s, d).where("off < 30")), BUDGET), sql(f"SELECT topic, part, max(size) AS largest, any_value(total) >= {BUDGET} OR max(size) >= {BUDGET} // any_value(n) AS pause, any_value(total) < {BUDGET} AND max(size) <= floor(({BUDGET} // any_value(n)) * 0.9) AS resume FROM (SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n FROM sz) GROUP BY topic, part", subs=SUBS + " WHERE off < 30", sz=SIZES)),
-    "pause_resume_whole": (_pause_resume_whole, sql("SELECT topic, part, max(size) AS largest, any_value(total) >= any_value(b) OR max(size) >= any_value(b) // any_value(n) AS pause, any_value(total) < any_value(b) AND max(size) <= floor((any_value(b) // any_value(n)) * 0.9) AS resume FROM (SELECT *, total * 51 // 50 AS b FROM (SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n FROM sz)) GROUP BY topic, part", subs=SUBS, sz=SIZES)),
+    "pause_resume": (_pause_resume, sql("SELECT topic, part, max(size) AS largest, any_value(total) >= any_value(b) OR max(size) >= any_value(b) // any_value(n) AS pause, any_value(total) < any_value(b) AND max(size) <= floor((any_value(b) // any_value(n)) * 0.9) AS resume FROM (SELECT *, total * 11 // 10 AS b FROM (SELECT *, sum(size) OVER () AS total, count(*) OVER () AS n FROM (SELECT topic, part, sub, coalesce(size, 0)::BIGINT AS size FROM reg LEFT JOIN sz USING (topic, part, sub)))) GROUP BY topic, part", subs=SUBS, sz="SELECT topic, part, subpartition AS sub, sum(weight)::BIGINT AS size FROM subs GROUP BY ALL", reg="SELECT topic, part, unnest(range(0, 3)) AS sub FROM (SELECT DISTINCT topic, part FROM ledger UNION ALL SELECT 'idle', 0)")),
     "accepted_prefix": (lambda s, d: flow.accepted_prefix(sub(s, d), F.col("ok")).select("topic", "part", "off", "subpartition"), sql("SELECT topic, part, off, subpartition::INT AS subpartition FROM (SELECT *, min(ok::INT) OVER (PARTITION BY topic, part, subpartition ORDER BY off) AS m FROM subs) WHERE m = 1", subs=SUBS)),
     "time_merge": (lambda s, d: flow.time_merge(ledger(s, d), "click", "view").select("topic", "part", "off", "ts"), sql("SELECT topic, part, off, ts FROM (SELECT *, max(CASE WHEN topic = 'click' THEN ts END) OVER (PARTITION BY part) AS a, max(CASE WHEN topic = 'view' THEN ts END) OVER (PARTITION BY part) AS b FROM ledger WHERE topic IN ('click', 'view')) WHERE ts <= a AND ts <= b")),
     "guarantee_none": (lambda s, d: flow.apply_guarantee(ledger(s, d), "none").select("topic", "part", "off", "ok", "dead_letter"), sql("SELECT topic, part, off, true AS ok, NOT ok AS dead_letter FROM ledger")),

@@ -90,15 +90,15 @@ KEYS = {
 RATIOS = ("queue.total.size.heap.ratio", "queue.resume.ratio")
 #: An option of the source that the engine owns: a value that contradicts it is an error.
 FINAL = {"enable.auto.commit": "false"}
-OWN, SOURCE, TASK, MONITORING = "kafka.workers.", "consumer.kafka.", "worker.task.", "monitoring."
+OWN, SOURCE, TASK, MONITORING = "logweave.", "consumer.kafka.", "worker.task.", "monitoring."
 
 
 class Config:
-    """Typed values with defaults; ``kafka.workers.``-prefixed keys override bare ones."""
+    """Typed values with defaults; keys with the prefix override bare ones."""
 
-    def __init__(self, properties: dict):
-        p = {k: v for k, v in properties.items() if not k.startswith(OWN)}
-        p |= {k.removeprefix(OWN): v for k, v in properties.items() if k.startswith(OWN)}
+    def __init__(self, properties: dict, prefix: str = OWN):
+        p = {k: v for k, v in properties.items() if not k.startswith(prefix)}
+        p |= {k.removeprefix(prefix): v for k, v in properties.items() if k.startswith(prefix)}
         self.originals, self.values = p, {}
         for k, (kind, default) in KEYS.items():
             v = p.get(k, default)

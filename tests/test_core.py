@@ -69,7 +69,7 @@ def test_guarantees(spark):
 
 
 def test_config():
-    c = Config(BASE | {"kafka.workers.worker.threads.num": "4", "worker.threads.num": "2", "consumer.kafka.x": "1", "worker.task.y": "2"})
+    c = Config(BASE | {"logweave.worker.threads.num": "4", "worker.threads.num": "2", "consumer.kafka.x": "1", "worker.task.y": "2"})
     assert c["worker.threads.num"] == 4 and c["consumer.topics"] == ["a", "b"] and c["worker.processing.guarantee"] is Guarantee.AT_LEAST_ONCE
     assert c.source_options() == {"x": "1", "enable.auto.commit": "false"} and c.task_options() == {"y": "2"}
     for bad in ({}, BASE | {"queue.resume.ratio": 2}, BASE | {"consumer.kafka.enable.auto.commit": "true"}, BASE | {"worker.processing.guarantee": "often"}):
@@ -80,3 +80,37 @@ def test_config():
 def test_statuses():
     assert allowed(None, Status.CREATED) and allowed(Status.CLOSING, Status.CLOSED_GRACEFULLY) and not allowed(Status.STARTED, Status.STARTING)
     assert terminal(Status.CANNOT_STOP_THREADS) and not terminal(Status.SHUTDOWN)
+
+
+def test_queues_without_rows(spark):
+    queued = spark.createDataFrame([("a", 0, 0, 60), ("a", 0, 1, 10), ("b", 0, 0, 30)], "topic string, part int, subpartition int, weight long")
+    assigned = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "topic string, part int")
+    sizes = flow.queue_sizes(queued, P.enumerate_subpartitions(assigned, P.Partitioner(2)))
+    now = flow.pause_resume(sizes, 300)  # six queues of 50
+    assert {(r["topic"], r["pause"], r["resume"]) for r in now.collect()} == {("a", True, False), ("b", False, True), ("c", False, True)}
+    before = assigned.withColumn("paused", F.lit(True))
+    assert {(r["topic"], r["paused"]) for r in flow.fold_paused(before, now.where("topic <> 'c'")).collect()} == {("a", True), ("b", False), ("c", False)}
+
+
+def test_order_duplicates_and_limits(spark):
+    log = spark.createDataFrame([("t", 0, i % 2, 9 - i) for i in range(10)], "topic string, part int, subpartition int, off long")
+    rows = P.in_order(log, 2).rdd.glom().collect()
+    for part in rows:
+        for s_ in (0, 1):
+            offs = [r["off"] for r in part if r["subpartition"] == s_]
+            assert offs == sorted(offs)
+    assert sum(any(r["subpartition"] == 0 for r in p) for p in rows) == 1
+    ranges = spark.createDataFrame([("t", 0, 1, 0, 4, 10), ("t", 0, 2, 4, 6, 11), ("t", 0, 3, 8, 9, 9), ("t", 0, 4, 20, 21, 12)], "topic string, part int, seq int, lower long, upper long, consumed_at long")
+    assert {r["seq"] for r in offsets.out_of_order(ranges).collect()} == {2, 3}
+    assert flow.queue_limits(100, 3) == (33, 29) and flow.queue_limits(100, 0) == (100, 90) and flow.total_budget(1001, 0.5) == 500
+    with pytest.raises(Exception, match="lower is above upper"):
+        R.checked(spark.createDataFrame([(2, 1)], "lower long, upper long")).collect()
+
+
+def test_header_weights(spark):
+    cases = [([("1", "1")], 392), ([("123", "1234")], 392), ([("1", "123456789")], 400), ([("123456789", "123456789")], 408), ([("1", "1")] * 2, 504), ([("1", "1"), ("1", "1"), ("12345678", "12345678")], 616), ([("1", "1"), ("1", "1"), ("123456789", "123456789")], 632)]
+    for heads, want in cases:
+        df = spark.createDataFrame([([(k, v.encode()) for k, v in heads],)], "h array<struct<key: string, value: binary>>")
+        zero = W.byte_array(F.lit("").cast("binary"))
+        got = df.select(W.record(W.bytes_object(F.lit("").cast("binary")), W.bytes_object(F.lit("").cast("binary")), F.lit(""), F.col("h")).alias("w"), W.record(zero, zero, F.lit(""), F.col("h")).alias("raw")).first()
+        assert want in tuple(got), (heads, want, got)

@@ -1,4 +1,5 @@
 import threading
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,79 @@ def test_merged_streams_hold_every_record(spark, log, tmp_path):
     finally:
         q.stop()
     assert got == sorted((t, p, o) for t, n in (("l", 8), ("r", 5)) for p in range(2) for o in range(n))
+
+
+class Own(Task):
+    """Remembers keys and types in its own fields; fails on offset 3; holds 5 until a timer."""
+
+    def init(self, subpartition, options):
+        self.key, self.seen = subpartition, set()
+
+    def accept(self, record, state):
+        assert isinstance(record["ts"], datetime) and isinstance(record["value"], str), record
+        return record["off"] != 5 or "open" in state
+
+    def process(self, record, state):
+        self.seen.add(record["part"])
+        if record["off"] == 3:
+            raise ValueError("no")
+        return [(record["off"], str(self.key), sorted(self.seen) == [record["part"]])]
+
+    def punctuate(self, now_ms, state):
+        state["open"] = "1"
+        return ()
+
+
+def _collect(out, path, want, seconds=120):
+    rows, done = [], threading.Event()
+
+    def sink(batch, i):
+        rows.extend(batch.collect())
+        if len(rows) >= want:
+            done.set()
+
+    q = out.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", path).trigger(processingTime="100 milliseconds").start()
+    return q, rows, done
+
+
+def test_tasks_keys_types_and_dead_letters(spark, log, tmp_path):
+    """Two keys in one Spark partition have a task each; a held record keeps its types; a failed one becomes a dead letter."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = log(rows=8).withColumn("ts", F.timestamp_seconds("off"))
+    out = run_stateful(stream, Own, "o bigint, task string, alone boolean", keys=("topic", "part"), punctuate_ms=300, guarantee="none")
+    q, rows, done = _collect(out, str(tmp_path), 16)
+    try:
+        assert done.wait(120), (rows, q.exception())
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted((r["record_part"], r["record_off"]) for r in rows) == [(p, o) for p in range(2) for o in range(8)]
+    for r in rows:
+        dead = r["record_off"] == 3
+        assert r["record_ok"] is not dead and (r["record_error"] == "ValueError: no") is dead
+        assert dead or (r["o"], r["alone"], r["task"]) == (r["record_off"], True, str(("generated", r["record_part"])))
+
+
+class Holds(Task):
+    def accept(self, record, state):
+        return record["off"] < 4
+
+    def process(self, record, state):
+        return [(record["off"],)]
+
+
+def test_an_idle_key_times_out(spark, log, tmp_path):
+    """No record follows the held one: a timer ends the query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    q, rows, _ = _collect(run_stateful(log(rows=6, partitions=1), Holds, "o bigint", keys=("topic", "part"), timeout_ms=1500), str(tmp_path), 99)
+    try:
+        with pytest.raises(Exception, match="ProcessingTimeout"):
+            q.awaitTermination(90)
+            raise AssertionError("still running")
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [r["o"] for r in rows] == [0, 1, 2, 3]
