@@ -8,7 +8,6 @@ executor costs a re-run of its tasks and nothing else.
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -23,10 +22,10 @@ SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, local mode)."""
+    """The cluster's shared folder; one in the warehouse, which executors share too, only where none is set (tests, local mode)."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="logweave-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_logweave-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 

@@ -21,11 +21,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is boilerplate when more documents of its host hold it than both limits allow.
-MAX_LINE_DOCS = 50
-MAX_LINE_SHARE = 0.01
-#: The one limit of op2_absolute_line_limit: as many documents of a host, whatever the host's size.
-MAX_LINE_DOCS_ABSOLUTE = 10
+#: A line is boilerplate when more documents of its host hold it, whatever the host's size.
+MAX_LINE_DOCS = 10
 #: A document is depleted when less than this share of its word characters is left.
 MIN_LEFT = 0.5
 
@@ -66,10 +63,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.drop("_t", "_w", "_h", "_s", "_p", "_l")
 
 
-def line_frequency(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float | None = MAX_LINE_SHARE) -> DataFrame:
+def line_frequency(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: float | None = None) -> DataFrame:
     """docs(doc_id, source, text) -> doc_id, th (hash of the text), removed_chars, removed_lines, for documents that lose lines.
 
-    Without a share the number of documents decides alone, for small and large hosts alike.
+    The number of documents decides alone, for small and large hosts alike, unless a share of the host's documents must be exceeded too.
     Counts are pre-aggregated before each shuffle (distinct lines of a document
     first, then partial counts), and only lines over the limit are joined back; a
     host or line that holds a large share of the rows is split by AQE's skew join.
@@ -77,11 +74,10 @@ def line_frequency(docs: DataFrame, max_docs: int = MAX_LINE_DOCS, max_share: fl
     host = F.coalesce(F.concat(F.lit("h"), F.col("source")), F.lit(""))
     # numbered before lines are unfolded, so that a row's lines share its number
     lines = docs.select("doc_id", F.monotonically_increasing_id().alias("copy"), F.xxhash64("text").alias("th"), host.alias("host"), F.transform(text_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.length(F.translate(x, " \t\x0b\f\r", "")).alias("c"))).alias("l"))
-    per_host = lines.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = lines.select("host", F.explode(F.array_distinct(F.transform("l", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
     over = counts.where(F.col("n") > max_docs)
     if max_share is not None:
-        over = over.join(per_host, "host").where(F.col("n") > max_share * F.col("host_docs"))
+        over = over.join(lines.groupBy("host").agg(F.count("*").alias("host_docs")), "host").where(F.col("n") > max_share * F.col("host_docs"))
     over = over.select("host", "h")
     return lines.select("doc_id", "th", "host", "copy", F.inline("l")).join(over, ["host", "h"], "left_semi").groupBy("doc_id", "th", "host", "copy").agg(F.sum("c").alias("removed_chars"), F.count("*").alias("removed_lines"), F.collect_set("h").alias("removed_hashes"))
 
@@ -100,15 +96,11 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
     return out.drop("_th", "_host", "_d", "_lh", "_lhost", "removed_hashes")
 
 
-def op2_quality_rules(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
-    d = quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), **limits)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "removed_chars")
 
 
-def op2_absolute_line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2_quality_rules(spark, sf_dir, max_docs=MAX_LINE_DOCS_ABSOLUTE, max_share=None)
-
-
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -117,7 +109,7 @@ win AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS x FROM (SELECT doc_id, w, u
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM rep) GROUP BY doc_id),
 ln AS (SELECT doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS c FROM (SELECT doc_id, host, unnest(l) AS x FROM w)),
-over_limit AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT doc_id) AS n FROM ln GROUP BY host, h) JOIN (SELECT host, count(*) AS m FROM d GROUP BY host) USING (host) WHERE n > 50 AND n > 0.01 * m),
+over_limit AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT doc_id) AS n FROM ln GROUP BY host, h) WHERE n > 10),
 lost AS (SELECT doc_id, sum(c) AS c, count(*) AS n FROM ln SEMI JOIN over_limit USING (host, h) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -127,6 +119,3 @@ b AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[
 SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND word_chars - removed_chars >= 0.5 * word_chars AS kept FROM b
 """
-
-#: The same rules with the absolute limit alone.
-OP2_ABSOLUTE_SQL = OP2_SQL.replace("WHERE n > 50 AND n > 0.01 * m", f"WHERE n > {MAX_LINE_DOCS_ABSOLUTE}")
