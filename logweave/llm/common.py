@@ -88,6 +88,13 @@ def buckets(df: DataFrame, times: int = 4) -> int:
     return times * max(32, df.rdd.getNumPartitions())
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the tables that a frame reads, by the optimizer's statistics; None where it has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 55 else None
+
+
 def words(text: Column) -> Column:
     """``[^\\x20\\x09-\\x0D]+`` of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, table
+from .common import input_bytes, keep, table
 from .vec import chunks, runs, word_arrays
 
 LENGTH = 35
 ANCHOR = 10
 CHUNK = 1 << 21
+#: Text per bucket: a bucket goes through memory as a whole, so their number follows the size of the input.
+BUCKET_BYTES = 16 << 20
 _U = np.uint64
 
 
@@ -118,7 +120,8 @@ def _extend(length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs(key long, text) -> key, start, end: word spans of repeated passages (they may touch or overlap)."""
-    nb = max(32, docs.rdd.getNumPartitions())
+    size = input_bytes(docs)
+    nb = max(8, -(-size // BUCKET_BYTES) if size is not None else 4 * docs.rdd.getNumPartitions())
     return docs.select("key", "text").mapInPandas(_seed(nb, length, anchor), _SEEDS).groupBy("bucket").applyInPandas(_extend(length), "key long, start int, end int")
 
 
