@@ -33,8 +33,8 @@ from .vec import chunks, runs, word_arrays
 LENGTH = 35
 ANCHOR = 10
 CHUNK = 1 << 21
-#: Text per bucket: a bucket goes through memory as a whole, so their number follows the size of the input.
-BUCKET_BYTES = 16 << 20
+#: Text per bucket: a bucket goes through memory as a whole, so buckets and the tasks that hold them, about two in each, follow the size of the input.
+BUCKET_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -122,7 +122,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     """docs(key long, text) -> key, start, end: word spans of repeated passages (they may touch or overlap)."""
     size = input_bytes(docs)
     nb = max(8, -(-size // BUCKET_BYTES) if size is not None else 4 * docs.rdd.getNumPartitions())
-    return docs.select("key", "text").mapInPandas(_seed(nb, length, anchor), _SEEDS).groupBy("bucket").applyInPandas(_extend(length), "key long, start int, end int")
+    return docs.select("key", "text").mapInPandas(_seed(nb, length, anchor), _SEEDS).repartition(max(8, nb // 2), "bucket").groupBy("bucket").applyInPandas(_extend(length), "key long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
