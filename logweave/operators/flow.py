@@ -92,6 +92,12 @@ def subpartition_gauges(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy(*SUB).agg(F.max("off").alias("accepted_offset"), F.max(F.when(F.col("ok"), F.col("off"))).alias("processed_offset"))
 
 
+def subpartition_progress(events: DataFrame) -> DataFrame:
+    """events(topic, part, subpartition, off, stage, at), stages accepting, accepted, processing and processed: the last offset of each stage, and the time of the last processing."""
+    last = [F.max(F.when(F.col("stage") == s, F.col("off"))).alias(f"{s}_offset") for s in ("accepting", "accepted", "processing", "processed")]
+    return events.groupBy(*SUB).agg(*last, F.max(F.when(F.col("stage") == "processing", F.col("at"))).alias("processing_at"))
+
+
 def poll_stats(log: DataFrame, batch: Column, size: Column) -> DataFrame:
     """Per poll: records, bytes, and smallest, largest, mean record."""
     x = log.select(batch.alias("poll"), size.alias("s"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.time import older_than
 from . import ranges as R
 
 TP = ("topic", "part")
@@ -48,7 +49,7 @@ def commit_offsets(ledger: DataFrame) -> DataFrame:
 def timed_out(ledger: DataFrame, now, timeout: str) -> DataFrame:
     """The lowest unprocessed offset of each partition, if it was consumed before now - timeout (strictly)."""
     head = ledger.where("NOT ok").groupBy(*TP).agg(F.min(F.struct("off", "consumed_at")).alias("h")).select(*TP, "h.off", "h.consumed_at")
-    return head.where(F.col("consumed_at") < now - F.expr(f"INTERVAL {timeout}"))
+    return head.where(older_than(F.col("consumed_at"), timeout, now))
 
 
 def _with_commit(ledger: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
+from ..streaming.control import paused_partitions
+
 HEADER = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])
 RECORD = T.StructType([
     T.StructField("topic", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("off", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -57,15 +59,16 @@ class _Slice(InputPartition):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
         self.parts, self.rows, self.step = int(options.get("partitions", 2)), int(options.get("rows", 100)), int(options.get("maxoffsetspertrigger", options.get("maxOffsetsPerTrigger", 10)))
-        self.topic = options.get("topic", "generated")
+        self.topic, self.control = options.get("topic", "generated"), options.get("control")
         self.at = None
 
     def initialOffset(self):
         return {str(p): 0 for p in range(self.parts)}
 
     def latestOffset(self):
-        # admission: at most ``step`` records of each partition beyond what was read last; the end is a fact of the log
-        self.at = {p: min(o + self.step, self.rows) for p, o in (self.at or self.initialOffset()).items()}
+        # admission: at most ``step`` records of each partition beyond what was read last, none of a paused one; the end is a fact of the log
+        paused = {str(p) for t, p in paused_partitions(self.control) if t == self.topic}
+        self.at = {p: o if p in paused else min(o + self.step, self.rows) for p, o in (self.at or self.initialOffset()).items()}
         return self.at
 
     def partitions(self, start, end):
@@ -81,7 +84,11 @@ class _Reader(DataSourceStreamReader):
 
 
 class GeneratedLog(DataSource):
-    """A deterministic partitioned log for tests and demos: ``spark.readStream.format("generated_log")``."""
+    """A deterministic partitioned log for tests and demos: ``spark.readStream.format("generated_log")``.
+
+    Options: partitions, rows (of each), topic, maxOffsetsPerTrigger, and control, the
+    file on the driver in which ``Admission`` names the paused partitions.
+    """
 
     @classmethod
     def name(cls):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
+from importlib import import_module
+
+from ..operators import weigher as W
 
 
 class EngineError(Exception):
@@ -79,6 +83,24 @@ class Guarantee(Enum):
             raise ConfigError(f"unknown guarantee: {text}") from None
 
 
+#: Weighers by short name; any other is ``module:function``, a function of a Column that gives bytes.
+WEIGHERS = {"string": W.string, "byte_array": W.byte_array, "bytes": W.bytes_object}
+
+
+def resolve(name: str, known: dict | None = None) -> Callable:
+    """What a name in the configuration stands for: a known short name or ``module:attribute``."""
+    if known and name in known:
+        return known[name]
+    module, _, attribute = name.partition(":")
+    try:
+        out = getattr(import_module(module), attribute)
+    except (ImportError, AttributeError, ValueError):
+        raise ConfigError(f"cannot resolve {name}") from None
+    if not callable(out):
+        raise ConfigError(f"{name} is not callable")
+    return out
+
+
 REQUIRED = object()
 #: Keys, types and defaults of the configuration.
 KEYS = {
@@ -90,7 +112,7 @@ KEYS = {
 RATIOS = ("queue.total.size.heap.ratio", "queue.resume.ratio")
 #: An option of the source that the engine owns: a value that contradicts it is an error.
 FINAL = {"enable.auto.commit": "false"}
-OWN, SOURCE, TASK, MONITORING = "logweave.", "consumer.kafka.", "worker.task.", "monitoring."
+OWN, SOURCE, TASK, MONITORING, SNAPSHOTS = "logweave.", "consumer.kafka.", "worker.task.", "monitoring.", "offsets-state."
 
 
 class Config:
@@ -110,6 +132,8 @@ class Config:
                 raise ConfigError(f"bad value for {k}: {v!r}") from None
             if kind is int and self.values[k] < 0 or k in RATIOS and not 0 <= self.values[k] <= 1:
                 raise ConfigError(f"bad value for {k}: {v!r}")
+        self.weighers = {k: resolve(self.values[f"record.{k}.weigher"], WEIGHERS) for k in ("key", "value")}
+        self.reporters = [x if callable(x) else resolve(x) for x in self.values["metric.reporters"]]
         for k, v in FINAL.items():
             if str(p.get(SOURCE + k, v)).lower() != v:
                 raise ConfigError(f"{SOURCE}{k} must be {v}")
@@ -123,3 +147,21 @@ class Config:
 
     def task_options(self) -> dict:
         return {k.removeprefix(TASK): v for k, v in self.originals.items() if k.startswith(TASK)}
+
+    def task_arguments(self) -> dict:
+        """What ``run_stateful`` takes from the configuration."""
+        return {
+            "options": self.task_options(), "guarantee": self["worker.processing.guarantee"].value, "timeout_ms": self["consumer.processing.timeout.ms"],
+            "punctuate_ms": self["punctuator.interval.ms"], "sleep_ms": self["worker.sleep.ms"],
+        }
+
+    def weight(self, key, value, topic, headers=None):
+        """Weight of a record by the configured weighers of its key and value."""
+        return W.record(self.weighers["key"](key), self.weighers["value"](value), topic, headers)
+
+    def snapshot_arguments(self) -> dict | None:
+        """What ``Snapshots`` takes from the configuration; None unless it is switched on."""
+        if str(self.originals.get(f"{SNAPSHOTS}metric-infos.enabled", "false")).lower() != "true":
+            return None
+        names = {"delay_ms": "metric-infos.delay.ms", "warn_ms": "metric-infos.compute.warn.ms", "max_age_ms": "last-metric-infos.max.age.ms", "max_size": "last-metric-infos.max.size"}
+        return {k: int(self.originals[SNAPSHOTS + v]) for k, v in names.items() if SNAPSHOTS + v in self.originals}

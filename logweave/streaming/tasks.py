@@ -87,13 +87,14 @@ class Processor(StatefulProcessor):
     Held records keep the log's types. Under the guarantee ``none`` a failed record
     gives a dead letter: a row with its place, ok = false and the error, its outputs
     null. A head that waits longer than ``timeout_ms`` fails the query, also where its
-    key gets no more records: a timer looks at it.
+    key gets no more records: a timer looks at it. A refused head is offered again after
+    ``sleep_ms``, with the next records or with the next punctuation, whichever is first.
     """
 
-    def __init__(self, factory, schema, output, options=None, punctuate_ms=0, timeout_ms=0, guarantee="at_least_once"):
+    def __init__(self, factory, schema, output, options=None, punctuate_ms=0, timeout_ms=0, guarantee="at_least_once", sleep_ms=0):
         self.factory, self.schema, self.output, self.options = factory, schema, output, options or {}
         self.columns = schema.fieldNames()
-        self.punctuate_ms, self.timeout_ms, self.guarantee = punctuate_ms, timeout_ms, guarantee.lower()
+        self.punctuate_ms, self.timeout_ms, self.guarantee, self.sleep_ms = punctuate_ms, timeout_ms, guarantee.lower(), sleep_ms
 
     def init(self, handle):
         self.handle = handle
@@ -152,10 +153,12 @@ class Processor(StatefulProcessor):
         return [(x[0], dict(zip(self.columns, x[1:], strict=True))) for x in self.held.get()] if self.held.exists() else []
 
     def _timers(self, rest, now):
-        """The next look at this key: a punctuation, or the moment its head is due."""
+        """The next look at this key: a punctuation, another try of its refused head, or the moment that head is due."""
         at = [now + self.punctuate_ms] if self.punctuate_ms else []
         if rest and self.timeout_ms:
             at.append(max(rest[0][0] + self.timeout_ms + 1, now + 1))
+        if rest and self.sleep_ms:
+            at.append(now + self.sleep_ms)
         set_ = [int(x) for x in self.handle.listTimers()]
         if at and not any(now < x <= min(at) for x in set_):
             self.handle.registerTimer(min(at))
@@ -208,7 +211,7 @@ def run_stateful(log: DataFrame, factory, output: str, keys=("topic", "part", "s
     if options.get("guarantee", "at_least_once").lower() == "none":
         schema = T.StructType([*schema.fields, *(T.StructField(f"record_{f.name}", f.dataType) for f in T._parse_datatype_string(RESULT).fields)])
     p = Processor(factory, log.schema, [f.name for f in schema.fields], **options)
-    mode = "ProcessingTime" if options.get("punctuate_ms") or options.get("timeout_ms") else "None"
+    mode = "ProcessingTime" if any(options.get(x) for x in ("punctuate_ms", "timeout_ms", "sleep_ms")) else "None"
     return log.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="append", timeMode=mode)
 
 
