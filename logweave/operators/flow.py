@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import BLOCK
+
 TP = ("topic", "part")
 SUB = (*TP, "subpartition")
 
@@ -30,10 +32,17 @@ def queue_sizes(queued: DataFrame, registered: DataFrame | None = None) -> DataF
     return registered.select(*SUB).join(sizes, list(SUB), "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
 
 
-def queue_growth(queued: DataFrame) -> DataFrame:
-    """Size of a record's queue after its push."""
-    w = Window.partitionBy(*SUB).orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    return queued.withColumn("size", F.sum("weight").over(w))
+def queue_growth(queued: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Size of a record's queue after its push.
+
+    Sums run inside blocks of offsets, each on top of the whole blocks before it, so a
+    long queue is the work of many tasks.
+    """
+    x = queued.withColumn("_b", F.floor(F.col("off") / block))
+    before = Window.partitionBy(*SUB).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(*SUB, "_b").agg(F.sum("weight").alias("_s")).withColumn("_s", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    own = Window.partitionBy(*SUB, "_b").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("size", F.sum("weight").over(own)).join(base, [*SUB, "_b"]).withColumn("size", F.col("size") + F.col("_s")).drop("_b", "_s")
 
 
 def pause_resume(sizes: DataFrame, total_bytes: int, resume_ratio: float = 0.9) -> DataFrame:

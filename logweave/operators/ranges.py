@@ -11,16 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ("topic", "part")
+#: Offsets that one task's window sees of a key; a long partition is the work of many tasks.
+BLOCK = 1 << 20
 
 
 def checked(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("upper", F.when(F.col("lower") <= F.col("upper"), F.col("upper")).otherwise(F.raise_error(F.lit("lower is above upper")).cast("long")))
 
 
-def from_offsets(offsets: DataFrame, keys=KEYS) -> DataFrame:
-    """Distinct offsets -> maximal closed ranges."""
-    w = Window.partitionBy(*keys).orderBy("off")
-    return offsets.select(*keys, "off", (F.col("off") - F.row_number().over(w)).alias("_g")).groupBy(*keys, "_g").agg(F.min("off").alias("lower"), F.max("off").alias("upper")).drop("_g")
+def from_offsets(offsets: DataFrame, keys=KEYS, block: int = BLOCK) -> DataFrame:
+    """Distinct offsets -> maximal closed ranges.
+
+    Ranges are made inside blocks of offsets. Only those that touch an end of their
+    block, two a block at most, meet in one window a key, where neighbours join.
+    """
+    w = Window.partitionBy(*keys, "_b").orderBy("off")
+    x = offsets.select(*keys, "off", F.floor(F.col("off") / block).alias("_b"))
+    x = x.withColumn("_g", F.col("off") - F.row_number().over(w)).groupBy(*keys, "_b", "_g").agg(F.min("off").alias("lower"), F.max("off").alias("upper"))
+    inside = (F.col("lower") % block != 0) & ((F.col("upper") + 1) % block != 0)
+    x = x.select(*keys, F.when(inside, F.col("_b")).alias("_b"), "lower", "upper")
+    # one run of adjacent ranges has one "lower minus the lengths before it"; inside a block every range is its own
+    e = Window.partitionBy(*keys, "_b").orderBy("lower")
+    before = F.coalesce(F.sum(F.col("upper") - F.col("lower") + 1).over(e.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_g", F.when(F.col("_b").isNotNull(), F.col("lower")).otherwise(F.col("lower") - before))
+    return x.groupBy(*keys, "_b", "_g").agg(F.min("lower").alias("lower"), F.max("upper").alias("upper")).drop("_b", "_g")
 
 
 def elements(ranges: DataFrame, descending: bool = False, keys=KEYS) -> DataFrame:
@@ -60,8 +74,8 @@ def truncate(ranges: DataFrame, at: DataFrame, keys=KEYS) -> DataFrame:
 
 def _as_of(ranges: DataFrame, points: DataFrame, keys, forward: bool) -> DataFrame:
     """points(keys, x) with the range whose lower end is the last at or before x (or the first at or after)."""
-    null = F.lit(None).cast("long")
-    both = ranges.select(*keys, F.col("lower").alias("x"), F.lit(0).alias("q"), "lower", "upper").unionByName(points.select(*keys, F.col("x").cast("long").alias("x"), F.lit(1).alias("q"), null.alias("lower"), null.alias("upper")))
+    null = lambda c: F.lit(None).cast(ranges.schema[c].dataType).alias(c)
+    both = ranges.select(*keys, F.col("lower").alias("x"), F.lit(0).alias("q"), "lower", "upper").unionByName(points.select(*keys, F.col("x").cast("long").alias("x"), F.lit(1).alias("q"), null("lower"), null("upper")))
     w = Window.partitionBy(*keys).orderBy(F.col("x").desc() if forward else "x", "q").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(F.when(F.col("q") == 0, F.col(c)), ignorenulls=True).over(w)
     return both.select(*keys, "x", "q", last("lower").alias("lower"), last("upper").alias("upper")).where("q = 1").drop("q")
@@ -85,11 +99,18 @@ def contains(ranges: DataFrame, points: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def min_existing(ranges: DataFrame, query: DataFrame, keys=KEYS) -> DataFrame:
-    """Per query range (lower, upper) the smallest element that exists already, or null."""
-    f = _as_of(ranges, query.select(*keys, F.col("lower").alias("x")).distinct(), keys, False).select(*keys, F.col("x").alias("lower"), F.col("upper").alias("_fu"))
-    c = _as_of(ranges, query.select(*keys, F.col("lower").alias("x")).distinct(), keys, True).select(*keys, F.col("x").alias("lower"), F.col("lower").alias("_cl"))
-    j = query.join(f, [*keys, "lower"]).join(c, [*keys, "lower"])
-    return j.select(*keys, "lower", "upper", F.when(F.col("_fu") >= F.col("lower"), F.col("lower")).when(F.col("_cl") <= F.col("upper"), F.col("_cl")).alias("existing"))
+    """Per query range (lower, upper) the smallest element that exists already, or null; ranges must not overlap.
+
+    One search gives the range at or before the query's lower end and the start of the
+    one that follows; a range below all others stands before each key's first.
+    """
+    lowest = F.lit(-(1 << 63)).cast("long")
+    first = ranges.select(*keys).distinct().select(*keys, lowest.alias("lower"), lowest.alias("upper"))
+    ahead = F.lead("lower").over(Window.partitionBy(*keys).orderBy("lower"))
+    r = ranges.select(*keys, "lower", "upper").unionByName(first).select(*keys, "lower", F.struct("upper", ahead.alias("next")).alias("upper"))
+    f = _as_of(r, query.select(*keys, F.col("lower").alias("x")).distinct(), keys, False).select(*keys, F.col("x").alias("lower"), F.col("upper").alias("_f"))
+    j = query.join(f, [*keys, "lower"])
+    return j.select(*keys, "lower", "upper", F.when(F.col("_f.upper") >= F.col("lower"), F.col("lower")).when(F.col("_f.next") <= F.col("upper"), F.col("_f.next")).alias("existing"))
 
 
 def encloses(ranges: DataFrame, query: DataFrame, keys=KEYS) -> DataFrame:

@@ -123,3 +123,28 @@ def test_checked_ranges(spark):
     assert R.checked(good).count() == 2
     with pytest.raises(Exception):
         R.checked(good.withColumn("upper", F.col("lower") - 1)).collect()
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64, 1 << 20])
+def test_blocks_change_nothing(spark, block):
+    """Ranges and queue sizes by blocks of offsets against plain Python, with gaps, block ends."""
+    import random
+
+    rng = random.Random(block)
+    offs = {p: sorted(rng.sample(range(p, 150), 60 + 30 * p)) for p in range(3)} | {3: list(range(128)), 4: [63], 5: [0, 1, 6, 7, 8, 13, 14, 127]}
+    rows = [("t", p, o, o % 2, rng.randrange(1, 9)) for p, x in offs.items() for o in x]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"{TPO}, subpartition int, weight long")
+    want = []
+    for p, x in offs.items():
+        for o in x:
+            if want and want[-1][0] == p and want[-1][2] == o - 1:
+                want[-1][2] = o
+            else:
+                want.append([p, o, o])
+    assert sorted([r["part"], r["lower"], r["upper"]] for r in R.from_offsets(df, block=block).collect()) == want
+    sizes, sums = {}, {}
+    for _, p, o, s, w in sorted(rows):
+        sums[p, s] = sums.get((p, s), 0) + w
+        sizes[p, o] = sums[p, s]
+    assert {(r["part"], r["off"]): r["size"] for r in flow.queue_growth(df, block).collect()} == sizes
