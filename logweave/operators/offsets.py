@@ -18,7 +18,7 @@ def consumed_ranges(batch: DataFrame, at) -> DataFrame:
 
 
 def duplicate_consumed(consumed: DataFrame, added: DataFrame) -> DataFrame:
-    """First offset of each added range that was consumed before, with the error's text."""
+    """First offset of each added range that was consumed before, with the error's text (a fixed value)."""
     d = R.min_existing(consumed, added).where("existing IS NOT NULL")
     return d.withColumn("error", F.concat(F.lit("Offset: "), F.col("existing").cast("string"), F.lit(" for partition: "), F.col("topic"), F.lit("-"), F.col("part").cast("string"), F.lit(" was consumed before")))
 

@@ -41,6 +41,7 @@ class ConfigError(EngineError):
     pass
 
 
+#: The statuses and which may follow which.
 class Status(Enum):
     CREATED = "CREATED"
     STARTING = "STARTING"
