@@ -347,3 +347,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), count=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 1, 2)) END) AS i FROM d),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS x FROM cut),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM link UNION SELECT doc_id, b FROM reach JOIN link ON a = other),
+root AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+deg AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id) LEFT JOIN deg USING (doc_id)
+"""

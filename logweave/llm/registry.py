@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op7_chat_formatting": chat.OP7_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op7_chat_formatting": chat.OP7_SQL}
