@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import murmur2
+from .ranges import numbered
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,20 @@ class Partitioner:
     def subpartition(self) -> Column:
         return F.lit(0)
 
+    def assign(self, log: DataFrame) -> DataFrame:
+        return log.withColumn("subpartition", self.subpartition().cast("int"))
+
 
 class RoundRobin(Partitioner):
-    """The n-th record of a topic partition, in offset order, goes to n modulo count."""
+    """The n-th record of a topic partition, in offset order, goes to n modulo count; numbered by blocks of offsets."""
 
     def subpartition(self) -> Column:
-        n = F.row_number().over(Window.partitionBy("topic", "part").orderBy("off")).cast("long") - 1
-        return n % self.counts()
+        """As one window over a whole topic partition, for a caller that needs a Column; ``assign`` goes by blocks."""
+        return (F.row_number().over(Window.partitionBy("topic", "part").orderBy("off")).cast("long") - 1) % self.counts()
+
+    def assign(self, log: DataFrame) -> DataFrame:
+        out = numbered(log.drop("subpartition"), "off", "_place", ("topic", "part"))
+        return out.withColumn("subpartition", (F.col("_place") % self.counts()).cast("int")).drop("_place")
 
 
 class Murmur2(Partitioner):
@@ -66,7 +74,7 @@ class Custom(Partitioner):
 
 
 def assign_subpartitions(log: DataFrame, partitioner: Partitioner, validate: bool = True) -> DataFrame:
-    out = log.withColumn("subpartition", partitioner.subpartition().cast("int"))
+    out = partitioner.assign(log)
     if validate:
         s = F.col("subpartition")
         out = out.withColumn("subpartition", F.when((s >= 0) & (s < partitioner.counts()), s).otherwise(F.raise_error(F.concat(F.lit("Invalid subpartition: "), s.cast("string"))).cast("int")))

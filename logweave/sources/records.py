@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.window import Window
 
+from ..operators.ranges import numbered
 from ..streaming.control import paused_partitions
 
 HEADER = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])
@@ -47,8 +47,7 @@ def events_log(spark: SparkSession, sf_dir: str, partitions: int = 4) -> DataFra
     """The ``events`` table as a log: topic = event type, partition = user modulo, dense offsets; ok marks processed ones, so they have gaps."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     log = e.select(F.col("event_type").alias("topic"), (F.col("user_id") % partitions).cast("int").alias("part"), "event_id", "ts", F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), (F.col("event_id") % 7 != 0).alias("ok"))
-    log = log.withColumn("off", (F.row_number().over(Window.partitionBy("topic", "part").orderBy("event_id")) - 1).cast("long"))
-    return log.drop("event_id")
+    return numbered(log, "event_id", "off").withColumn("off", F.col("off").cast("long")).drop("event_id")
 
 
 class _Slice(InputPartition):
