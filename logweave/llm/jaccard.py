@@ -49,6 +49,7 @@ WIDTH, PERCENT = 3, 90
 SEEDS = np.array([0, 0x51ED270B35AC8F17, 0x2C8A19F4D3B7E605], np.uint64)
 CHUNK = 1 << 21
 BLOCK, BLOCK_SETS = 1 << 18, 1 << 11
+HUB = 256
 
 
 def shingle_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +228,8 @@ def compared(members: DataFrame, texts: DataFrame, width: int, percent: int, par
     cells = cells.select("id", "g", "n", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "hs")
     # families of one block share buckets; a larger one has a group for each two blocks
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("g", "i", "j"), F.lit(parts)))
-    return cells.groupBy("cell", "i", "j").applyInPandas(_compare(percent), "id long, links long, root long")
+    # a fixed number of tasks: by bytes Spark would join cells whose work is far larger than their size
+    return cells.repartition(parts, "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(_compare(percent), "id long, links long, root long")
 
 
 def _named(texts: DataFrame) -> DataFrame:
@@ -235,10 +237,20 @@ def _named(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs(a, ta, b, tb: ids and text hashes) that link, by the whole texts."""
-    j = pairs
-    for x in "ab":
-        j = j.join(texts.select(F.col("doc_id").alias(x), F.col("th").alias(f"t{x}"), F.col("text").alias(f"text_{x}")).dropDuplicates([x, f"t{x}"]), [x, f"t{x}"])
+    """pairs(a, ta, b, tb: ids and text hashes; a table) that link, by the whole texts.
+
+    An id a that meets more than ``HUB`` others, and more than a thousandth of all pairs,
+    has a slot for each such number of them, so no task takes all pairs of a hub. There
+    are fewer than a thousand such ids, which bounds what is broadcast.
+    """
+    most = max(HUB, pairs.count() // 1000)
+    hot = F.broadcast(pairs.groupBy("a", "ta").agg(F.ceil(F.count("*") / most).alias("slots")).where("slots > 1"))
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("th").alias(f"t{x}"), F.col("text").alias(f"text_{x}")).dropDuplicates([x, f"t{x}"])
+    slots = F.coalesce("slots", F.lit(1).cast("long"))
+    first = text("a").join(pairs.select("a", "ta").distinct(), ["a", "ta"]).join(hot, ["a", "ta"], "left")
+    first = first.select("a", "ta", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
+    j = pairs.join(hot, ["a", "ta"], "left").select("a", "ta", "b", "tb", F.pmod(F.xxhash64("b"), slots).alias("slot"))
+    j = j.join(first, ["a", "ta", "slot"]).join(text("b"), ["b", "tb"])
     return j.select("a", "b", F.col("text_a").alias("ta"), F.col("text_b").alias("tb")).mapInPandas(released(_verify(width, percent)), "a long, b long")
 
 

@@ -39,6 +39,7 @@ def test_every_link_counts(spark, monkeypatch, tmp_path):
     got = {r["doc_id"]: r["n_links"] for r in jaccard.op1_ngram_jaccard_join(spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(docs))] == want
     monkeypatch.setattr(jaccard, "BLOCK", 300)  # many blocks a group
+    monkeypatch.setattr(jaccard, "HUB", 3)  # many slots a hub
     got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(df, 5, 80, count=True).collect()}
     assert [got[i] for i in range(len(docs))] == brute(docs, 5, 80)
 
